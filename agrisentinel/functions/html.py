@@ -64,7 +64,8 @@ def html_text_regex_sql(col: str, drop: Sequence[str] = BOILERPLATE_TAGS,
              f"ELSE {x} END)")
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for ent, ch in ENTITIES:
-        x = f"replace({x}, '{ent}', '{ch}')"
+        esc = ch.replace("'", "''")
+        x = f"replace({x}, '{ent}', '{esc}')"
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
