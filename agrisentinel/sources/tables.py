@@ -12,11 +12,23 @@ TABLE_NAMES = (
 ).split()
 
 
+# Text tables feed CPU-heavy regex/array work in the map stage.  When a scan
+# yields fewer splits than the cluster has cores (a small file with a single
+# row group), spread it round-robin first; a large table already has many
+# splits and is left alone.
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; column pruning and filters reach the parquet scan."""
     if name not in TABLE_NAMES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
