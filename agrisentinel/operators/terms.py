@@ -83,10 +83,10 @@ def class_tfidf(counts: DataFrame, cls: str = "topic") -> DataFrame:
     length = counts.groupBy(cls).agg(F.sum("n").alias("_len"))
     freq = counts.groupBy("term").agg(F.sum("n").alias("_f"))
     avg_words = F.floor(length.select(F.avg("_len")).scalar())
+    idf = F.log(1 + avg_words / F.col("_f"))
     return (counts.join(length, cls).join(freq, "term")
-                  .select(cls, "term", "n",
-                          ((F.col("n") / F.col("_len"))
-                           * F.log(1 + avg_words / F.col("_f"))).alias("score")))
+                  .select(cls, "term", "n", ((F.col("n") / F.col("_len")) * idf).alias("score"),
+                          idf.alias("idf")))
 
 
 def top_terms(scores: DataFrame, k: int = 10, cls: str = "topic", score: str = "score",

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms"]
+_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms", "q_topics"]
 
 
 def load_all() -> None:

@@ -262,4 +262,8 @@ def with_views(query: str, *names: str, extra: dict[str, str] | None = None) ->
     parts += [f"{k} AS ({v}\n)" for k, v in (extra or {}).items()]
     if not parts:
         return query
+    body = query.lstrip()
+    if body[:4].upper() == "WITH":
+        # merge the query's own CTEs after ours
+        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + query
