@@ -143,3 +143,32 @@ def fetch_outcome(status: Column | str, content_type: Column | str, html: Column
              .when(~html_ok, F.concat(F.lit(prefix), ct)))
     content = F.when(err.isNull(), html_text_regex(html, drop, prefer))
     return F.struct(content.alias("content"), err.alias("error"))
+
+
+def fetch_outcome_parsed(status: Column | str, content_type: Column | str,
+                         html: Column | str, mode: str = "contains",
+                         drop: Sequence[str] = BOILERPLATE_TAGS,
+                         prefer: str | None = PREFERRED) -> Column:
+    """L2: the same outcome from a vectorised UDF returning a struct (real
+    HTML tokenizer); one Arrow batch in, one struct column out."""
+    dropset, pref = frozenset(drop), prefer
+
+    @F.pandas_udf(FETCH_OUTCOME)
+    def _udf(st: pd.Series, ct: pd.Series, h: pd.Series) -> pd.DataFrame:
+        content, error = [], []
+        for s, c, x in zip(st, ct, h):
+            c = c or ""
+            ok_type = ("text/html" in c) if mode == "contains" else c.startswith("text/html")
+            if s != 200:
+                content.append(None)
+                error.append(f"HTTP error {s}")
+            elif not ok_type:
+                content.append(None)
+                error.append(("Non-HTML content: " if mode == "contains"
+                              else "Invalid Content-Type: ") + c)
+            else:
+                content.append(_extract(x, dropset, pref))
+                error.append(None)
+        return pd.DataFrame({"content": content, "error": error})
+
+    return _udf(_c(status), _c(content_type), _c(html))
