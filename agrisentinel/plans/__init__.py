@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms", "q_topics", "q_text", "q_stream"]
+_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms", "q_topics", "q_text", "q_stream", "q_models", "q_vectors"]
 
 
 def load_all() -> None:
