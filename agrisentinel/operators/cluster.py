@@ -1,12 +1,13 @@
 """Density clustering and topic hierarchy as iterative DataFrame jobs.
 
 Density clustering (re-aimed): points in a low-dimensional projection are
-binned into a grid of cells of width ``width``; a cell holding at least
-``min_points`` points is dense; dense cells that touch (Chebyshev distance 1)
-form one cluster (connected components); points outside dense cells and
-clusters smaller than ``min_cluster_size`` are noise (−1).  Work is linear:
-per point one cell, per dense cell 3^d neighbour keys and an equi-join —
-no pairwise distances between points.
+binned into a grid of cells of width ``width``; a cell whose neighbourhood
+(touching cells included) holds at least ``min_points`` points is a core
+cell; touching core cells form one cluster (connected components); border
+cells attach to a touching core cell; the rest and clusters smaller than
+``min_cluster_size`` are noise (−1).  Work is linear: per point one cell,
+per occupied cell 3^d neighbour keys and equi-joins — no pairwise distances
+between points.
 
 Connected components use min-label propagation; each round is a join +
 groupBy and the labels are checkpointed (reliable storage), so long runs
@@ -64,7 +65,13 @@ def _offsets(d: int) -> Column:
 def grid_density_clusters(points: DataFrame, coords: str = "coords", id_col: str = "id",
                           width: float | Column = 0.5, min_points: int = 3,
                           min_cluster_size: int = 3) -> DataFrame:
-    """``(id, cluster)``; cluster ids are component ids, −1 = noise."""
+    """``(id, cluster)``; cluster ids are component ids, −1 = noise.
+
+    A cell is a core cell when its neighbourhood (itself and the 3^d − 1
+    touching cells) holds ≥ ``min_points`` points; touching core cells are
+    connected; a non-core cell touching a core cell joins the smallest such
+    cluster (border points); everything else is noise.
+    """
     d = len(points.select(coords).first()[0])
     w = width if isinstance(width, Column) else F.lit(float(width))
     # the width may be a scalar subquery: bind it to a column before the lambda
@@ -72,16 +79,26 @@ def grid_density_clusters(points: DataFrame, coords: str = "coords", id_col: str
     pts = (points.withColumn("_w", w).select(id_col, cell.alias("cell"))
                  .withColumn("key", F.array_join("cell", ",")))
     cells = pts.groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
-    dense = cut_lineage(cells.where(F.col("n") >= min_points)
-                             .withColumn("cid", F.xxhash64("key")))
-    nbr_keys = dense.select(
-        F.col("cid").alias("src"),
-        F.explode(F.transform(_offsets(d), lambda o: F.array_join(
-            F.zip_with("cell", o, lambda a, b: a + b), ","))).alias("key"))
-    edges = nbr_keys.join(dense.select("key", F.col("cid").alias("dst")), "key").select("src", "dst")
-    comp = connected_components(dense.select(F.col("cid").alias("id")), edges)
-    cell_comp = dense.select("key", "cid").join(comp.withColumnRenamed("id", "cid"), "cid")
-    labelled = pts.join(cell_comp.select("key", "component"), "key", "left")
+
+    def around(df):
+        return F.explode(F.transform(_offsets(d), lambda o: F.array_join(
+            F.zip_with(df["cell"], o, lambda a, b: a + b), ",")))
+
+    spread = (cells.select(around(cells).alias("key"), "n")
+                   .groupBy("key").agg(F.sum("n").alias("nbhd")))
+    occupied = cut_lineage(cells.join(spread, "key").withColumn("cid", F.xxhash64("key"))
+                                .withColumn("core", F.col("nbhd") >= min_points))
+    core = occupied.where("core")
+    nbr = core.select(F.col("cid").alias("src"), around(core).alias("key"))
+    edges = nbr.join(core.select("key", F.col("cid").alias("dst")), "key").select("src", "dst")
+    comp = connected_components(core.select(F.col("cid").alias("id")), edges)
+    core_comp = core.select("key", "cid").join(comp.withColumnRenamed("id", "cid"), "cid")
+    border = (occupied.where(~F.col("core")).select("key", "cell")
+              .select("key", around(occupied.where(~F.col("core"))).alias("nkey"))
+              .join(core_comp.select(F.col("key").alias("nkey"), "component"), "nkey")
+              .groupBy("key").agg(F.min("component").alias("component")))
+    cell_comp = core_comp.select("key", "component").unionByName(border)
+    labelled = pts.join(cell_comp, "key", "left")
     sizes = (labelled.where(F.col("component").isNotNull()).groupBy("component")
                      .agg(F.count(F.lit(1)).alias("_size")))
     out = labelled.join(sizes, "component", "left")
