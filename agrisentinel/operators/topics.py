@@ -38,11 +38,28 @@ def topic_share(assign: DataFrame, topic: str = "topic") -> DataFrame:
     return sizes.withColumn("share", F.col("count") / total)
 
 
+def mean_vectors(df: DataFrame, keys: Sequence[str], vec: str = "embedding",
+                 out: str = "centroid") -> DataFrame:
+    """Element-wise mean of an array column per key (``Summarizer.mean``:
+    a partial aggregation with one d-wide buffer per key and task)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = df.select(*keys, array_to_vector(F.col(vec)).alias("_v"))
+    return (v.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+             .select(*keys, vector_to_array("_m").alias(out)))
+
+
+def centroid_arrays_of(assign: DataFrame, topic: str = "topic", vec: str = "embedding") -> DataFrame:
+    """``(topic, centroid array<double>)``."""
+    return mean_vectors(assign, [topic], vec, "centroid")
+
+
 def centroids(assign: DataFrame, topic: str = "topic", vec: str = "embedding",
               id_col: str = "doc_id") -> DataFrame:
-    """Mean vector per topic, long form ``(topic, dim, value)``."""
-    lv = assign.select(id_col, topic, F.posexplode(vec).alias("dim", "value"))
-    return lv.groupBy(topic, "dim").agg(F.avg(F.col("value").cast("double")).alias("value"))
+    """Mean vector per topic, long form ``(topic, dim, value)`` (a
+    topic-sized table, exploded after the aggregation)."""
+    c = centroid_arrays_of(assign, topic, vec)
+    return c.select(topic, F.posexplode("centroid").alias("dim", "value"))
 
 
 def centroid_arrays(cent: DataFrame, topic: str = "topic") -> DataFrame:
@@ -52,6 +69,21 @@ def centroid_arrays(cent: DataFrame, topic: str = "topic") -> DataFrame:
                     lambda s: s["value"]).alias("centroid"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays (JVM higher-order functions, no explode)."""
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def euclidean(a: Column, b: Column) -> Column:
+    """G4."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                              lambda acc, x: acc + x))
+
+
 def _norms(long: DataFrame, key: str) -> DataFrame:
     return long.groupBy(key).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
 
@@ -88,18 +120,16 @@ def pairwise_similarity(cent: DataFrame, topics: DataFrame | None = None,
                         (F.col("dot") / (F.col("na") * F.col("nb"))).alias("similarity")))
 
 
-def doc_to_centroid(assign: DataFrame, cent: DataFrame, topic: str = "topic",
+def doc_to_centroid(assign: DataFrame, cent: DataFrame | None = None, topic: str = "topic",
                     vec: str = "embedding", id_col: str = "doc_id") -> DataFrame:
     """Each document against its own topic's centroid: cosine
-    similarity and euclidean distance (equi-join on (topic, dim))."""
-    lv = assign.select(id_col, topic, F.posexplode(vec).alias("dim", "x")).withColumn(
-        "x", F.col("x").cast("double"))
-    j = lv.join(cent, [topic, "dim"])
-    return j.groupBy(id_col, topic).agg(
-        (F.sum(F.col("x") * F.col("value"))
-         / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("value") * F.col("value"))))
-         ).alias("cosine"),
-        F.sqrt(F.sum((F.col("x") - F.col("value")) ** 2)).alias("euclidean"))
+    similarity and euclidean distance.  One row per document joins one row
+    per topic (AQE broadcasts the centroid table from its measured size)."""
+    ca = centroid_arrays_of(assign, topic, vec)
+    x = F.transform(vec, lambda e: e.cast("double"))
+    return (assign.select(id_col, topic, x.alias("_x")).join(ca, topic)
+                  .select(id_col, topic, cosine(F.col("_x"), F.col("centroid")).alias("cosine"),
+                          euclidean(F.col("_x"), F.col("centroid")).alias("euclidean")))
 
 
 def top_topics(sizes: DataFrame, n: int, topic: str = "topic",

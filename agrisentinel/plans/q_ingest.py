@@ -243,3 +243,31 @@ SELECT url, page_id, pos FROM links l WHERE EXISTS (SELECT 1 FROM seen s WHERE s
                                        "links", "seen"))
 def c6_semi(spark, sf):
     return I.known(view(spark, sf, "links"), view(spark, sf, "seen")).select("url", "page_id", "pos")
+
+
+@query("f5_running_stop_condition", with_views("""
+SELECT session, page_num, n_links,
+       min(n_links) OVER (PARTITION BY session ORDER BY page_num
+                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_min
+FROM page_counts WHERE page_num <= 5""", "page_counts"))
+def f5_running(spark, sf):
+    from pyspark.sql import Window
+    pc = view(spark, sf, "page_counts").where(F.col("page_num") <= 5)
+    w = (Window.partitionBy("session").orderBy("page_num")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return pc.withColumn("running_min", F.min("n_links").over(w))
+
+
+@query("d18_counters", with_views("""
+SELECT (SELECT count(*) FROM pages) AS n_pages, (SELECT count(*) FROM links) AS n_links,
+       (SELECT count(DISTINCT url) FROM links) AS n_unique_urls,
+       (SELECT count(DISTINCT topic) FROM topics WHERE topic <> -1) AS n_topics""",
+                                  "links", "topics"))
+def d18_counters(spark, sf):
+    lk = view(spark, sf, "links")
+    n_pages = table(spark, sf, "pages").select(F.count(F.lit(1))).scalar()
+    n_topics = (view(spark, sf, "topics").where(F.col("topic") != -1)
+                .select(F.count_distinct("topic")).scalar())
+    return lk.agg(F.count(F.lit(1)).alias("n_links"),
+                  F.count_distinct("url").alias("n_unique_urls")).select(
+        n_pages.alias("n_pages"), "n_links", "n_unique_urls", n_topics.alias("n_topics"))

@@ -215,3 +215,14 @@ def a14_stamp(spark, sf):
     # the run's clock is a parameter; tests pass a fixed instant
     ts = F.lit("2025-06-09 10:00:00").cast("timestamp_ntz")
     return table(spark, sf, "pages").select("page_id", T.stamp(ts).alias("scrape_date"))
+
+
+@query("f7_record_position", """
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+FROM documents""")
+def f7_position(spark, sf):
+    # per-source positions from range-partitioned running counts: a source
+    # holding most records is still split across tasks
+    from ..operators.common import dense_order_ids
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return dense_order_ids(d, ["doc_id"], "pos", group=["source"])

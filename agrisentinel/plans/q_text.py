@@ -265,3 +265,22 @@ def l4_encoder(spark, sf):
     return encode_batches(d).select("doc_id", F.size("embedding").alias("dims"),
                                     fround(F.aggregate("embedding", F.lit(0.0),
                                                        lambda a, x: a + x * x), 6).alias("norm2"))
+
+
+@query("i10_chunk_recombination", f"""
+WITH s AS ({SUMMARY_SQL}),
+multi AS (SELECT doc_id FROM ({_chunks_sql(SMALL_CHUNK)}) c GROUP BY doc_id HAVING count(*) > 1)
+SELECT doc_id, summary FROM s WHERE doc_id IN (SELECT doc_id FROM multi)""")
+def i10_recombine(spark, sf):
+    d = table(spark, sf, "documents")
+    multi = (SU.chunk_rows(d, max_tokens=SMALL_CHUNK).groupBy("doc_id").count()
+               .where(F.col("count") > 1).select("doc_id"))
+    return SU.extractive_summaries(d, max_tokens=SMALL_CHUNK).join(multi, "doc_id", "left_semi")
+
+
+@query("i11_failure_to_empty", f"""
+WITH s AS ({SUMMARY_SQL})
+SELECT doc_id, summary FROM s WHERE summary = ''""")
+def i11_empty(spark, sf):
+    d = table(spark, sf, "documents")
+    return SU.extractive_summaries(d, max_tokens=SMALL_CHUNK).where(F.col("summary") == "")

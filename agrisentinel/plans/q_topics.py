@@ -368,3 +368,17 @@ def j13_over_time(spark, sf):
     vocab = scores.select("term").distinct()
     out = TP.topics_over_time(_assign(spark, sf), scores, _bin_counts_fn(vocab), NR_BINS)
     return out.select("topic", "bin", fround("bin_start", 3).alias("bin_start"), "frequency", "words")
+
+
+@query("d16_max_topic_probability", f"""
+SELECT vec_id, {R("list_max(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
+                  " / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))", 8)}
+         AS max_probability
+FROM embeddings""")
+def d16_max_prob(spark, sf):
+    # a probability vector per document (squared, normalised components of
+    # its embedding) and its maximum; a scalar would pass through unchanged
+    e = table(spark, sf, "embeddings")
+    sq = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
+    total = F.aggregate(sq, F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", fround(F.array_max(sq) / total, 8).alias("max_probability"))
