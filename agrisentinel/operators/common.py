@@ -85,16 +85,23 @@ def dense_order_ids(df: DataFrame, order: Sequence[str], name: str = "idx",
     return out.withColumn(name, F.col("_one_cum") - 1).drop("_one", "_one_cum")
 
 
+def value_counts_long(long: DataFrame, key: str, value: str) -> DataFrame:
+    """``key, value, _cnt``: distinct non-null values per key with counts."""
+    return (long.where(F.col(value).isNotNull())
+                .groupBy(key, value).agg(F.count(F.lit(1)).alias("_cnt")))
+
+
 def exact_quantiles(long: DataFrame, key: str, value: str,
-                    probs: Sequence[float], ranges: int | None = None) -> DataFrame:
+                    probs: Sequence[float], ranges: int | None = None,
+                    counted: DataFrame | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``describe`` / DuckDB
     ``quantile_cont``) of ``value`` per ``key``; nulls ignored.
 
-    Output: ``key, p, q``.  Works on distinct values with counts, their running
+    Output: ``key, p, q``.  Works on distinct values with counts (pass
+    ``counted`` = ``value_counts_long(...)`` to reuse them), their running
     counts (range-partitioned), and a small (key × p) target table.
     """
-    vals = long.where(F.col(value).isNotNull())
-    distinct = vals.groupBy(key, value).agg(F.count(F.lit(1)).alias("_cnt"))
+    distinct = counted if counted is not None else value_counts_long(long, key, value)
     cum = running_totals(distinct, [key], [value], ["_cnt"], ranges=ranges)
     sizes = distinct.groupBy(key).agg(F.sum("_cnt").alias("_n"))
     # keys × |probs| rows: bounded by the number of profiled columns

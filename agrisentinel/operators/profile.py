@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact_quantiles, unpivot_numeric
+from ..session import cut_lineage
+from .common import exact_quantiles, unpivot_numeric, value_counts_long
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -17,29 +18,45 @@ def describe(df: DataFrame, cols: Sequence[str], exact: bool = True,
              accuracy: int = 10000) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max per column (long).
 
-    One pass for the moments (partial aggregation per column); quartiles are
-    exact from running counts of distinct values, or sketched with
-    ``percentile_approx`` when ``exact=False``.
+    One pass over the input: the long (column, value) table is reduced to
+    distinct values with counts (partial aggregation; most measures repeat
+    values) and checkpointed.  Every statistic comes from that table: the mean
+    as an exact DECIMAL sum (order-independent, so any partitioning and any
+    engine agree), the standard deviation in a second pass around the mean,
+    quartiles from running counts.  ``exact=False`` sketches the quartiles
+    with ``percentile_approx`` instead (no value table).
     """
-    long = unpivot_numeric(df, cols).where(F.col("value").isNotNull())
-    # the mean is summed as DECIMAL(38,9): order-independent, so any
-    # partitioning (and any engine) gives the same double
-    exact_sum = F.sum(F.col("value").cast("decimal(38,9)")).cast("double")
-    moments = long.groupBy("col_name").agg(
-        F.count("value").alias("count"), (exact_sum / F.count("value")).alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    if exact:
-        q = exact_quantiles(long, "col_name", "value", QUARTILES)
-        qs = q.groupBy("col_name").pivot("p", list(QUARTILES)).agg(F.first("q"))
-        qs = qs.select("col_name", *[F.col(f"`{p}`").alias(n)
-                                   for p, n in zip(QUARTILES, ("q25", "q50", "q75"))])
-    else:
-        qs = long.groupBy("col_name").agg(
+    long = unpivot_numeric(df, cols)
+    if not exact:
+        long = long.where(F.col("value").isNotNull())
+        exact_sum = F.sum(F.col("value").cast("decimal(38,9)")).cast("double")
+        moments = long.groupBy("col_name").agg(
+            F.count("value").alias("count"), (exact_sum / F.count("value")).alias("mean"),
+            F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+            F.max("value").alias("max"),
             F.percentile_approx("value", list(QUARTILES), accuracy).alias("_q"))
-        qs = qs.select("col_name", *[F.col("_q")[i].alias(n)
-                                   for i, n in enumerate(("q25", "q50", "q75"))])
-    return moments.join(qs, "col_name", "left")
+        return moments.select("col_name", "count", "mean", "std", "min",
+                              *[F.col("_q")[i].alias(n) for i, n in
+                                enumerate(("q25", "q50", "q75"))], "max")
+    counted = cut_lineage(value_counts_long(long, "col_name", "value"))
+    v, c = F.col("value"), F.col("_cnt")
+    base = counted.groupBy("col_name").agg(
+        F.sum(c).alias("count"),
+        # decimal(25,9) × decimal(12,0) fits decimal(38,9): the product is exact
+        (F.sum(v.cast("decimal(25,9)") * c.cast("decimal(12,0)")).cast("double")
+         / F.sum(c)).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    spread = (counted.join(F.broadcast(base.select("col_name", "mean")), "col_name")
+                     .groupBy("col_name")
+                     .agg(F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss")))
+    q = exact_quantiles(None, "col_name", "value", QUARTILES, counted=counted)
+    qs = q.groupBy("col_name").pivot("p", list(QUARTILES)).agg(F.first("q"))
+    qs = qs.select("col_name", *[F.col(f"`{p}`").alias(n)
+                                 for p, n in zip(QUARTILES, ("q25", "q50", "q75"))])
+    return (base.join(spread, "col_name").join(qs, "col_name", "left")
+                .select("col_name", "count", "mean",
+                        F.sqrt(F.col("_ss") / F.nullif(F.col("count") - 1, F.lit(0))).alias("std"),
+                        "min", "q25", "q50", "q75", "max"))
 
 
 def histogram(df: DataFrame, cols: Sequence[str], bins: int = 10) -> DataFrame:

@@ -45,11 +45,20 @@ def ngrams(toks: Column, n_max: int = 2) -> Column:
     return out
 
 
+def content_tokens(df: DataFrame, keep: Sequence[str], text: str = "text",
+                   stop: Sequence[str] | None = None, name: str = "_tok") -> DataFrame:
+    """Projection holding the stop-word-free token array as its own column,
+    so later expressions (size, slices, bigrams) reuse it instead of
+    re-running the regex (Catalyst does not collapse a costly projection
+    that is referenced more than once)."""
+    return df.select(*keep, drop_stop_words(tokens(text), stop).alias(name))
+
+
 def doc_terms(df: DataFrame, id_cols: Sequence[str], text: str = "text",
               stop: Sequence[str] | None = None, n_max: int = 2) -> DataFrame:
     """Long table ``(*id_cols, term)``: one row per term occurrence."""
-    terms = ngrams(drop_stop_words(tokens(text), stop), n_max)
-    return df.select(*id_cols, F.explode(terms).alias("term"))
+    t = content_tokens(df, id_cols, text, stop)
+    return t.select(*id_cols, F.explode(ngrams(F.col("_tok"), n_max)).alias("term"))
 
 
 def class_term_counts(df: DataFrame, cls: str = "topic", text: str = "text",
@@ -127,23 +136,37 @@ def keyphrases_tfidf(df: DataFrame, id_col: str = "doc_id", text: str = "text",
 def cooccurrence(df: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 5,
                  min_df: int = 2, stop: Sequence[str] | None = None) -> DataFrame:
     """Term pairs within ``window`` positions of each other (after stop
-    words and a min document frequency), counted once per document.
+    words), counted once per document; both terms must occur in at least
+    ``min_df`` documents.
 
-    Each token pairs with at most ``window`` followers, so the work is linear
-    in text length — never all pairs of a document.
+    Pairs are built inside each row from the token array (each token with
+    its next ``window`` tokens, ``array_distinct`` per document), so the
+    work is linear in text length, there is no self-join, and only the
+    aggregated pair table meets the document-frequency filter.
     """
-    toks = drop_stop_words(tokens(text), stop)
-    pos = df.select(id_col, F.posexplode(toks).alias("p", "term"))
-    frequent = (pos.groupBy("term").agg(F.count_distinct(id_col).alias("_df"))
-                   .where(F.col("_df") >= min_df).select("term"))
-    kept = pos.join(frequent, "term", "left_semi")
-    a = kept.select(id_col, F.col("p").alias("pa"), F.col("term").alias("term_a"))
-    b = (kept.select(id_col, F.col("p").alias("pb"), F.col("term").alias("term_b"))
-             .withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(window))))
-             .withColumn("pa", F.col("pb") - F.col("d")))
-    pairs = (a.join(b, [id_col, "pa"])
-              .where(F.col("term_a") != F.col("term_b"))
-              .select(id_col, F.least("term_a", "term_b").alias("term_a"),
-                      F.greatest("term_a", "term_b").alias("term_b"))
-              .distinct())
-    return pairs.groupBy("term_a", "term_b").agg(F.count(F.lit(1)).alias("n_docs"))
+    t = content_tokens(df, [id_col], text, stop)
+    n = F.size("_tok")
+
+    sep = "\u0001"
+
+    def shifted(d):
+        # a pair is one string "a<SEP>b" (a < b): array_distinct hashes
+        # strings, while on structs it would compare every pair with every other
+        m = F.greatest(n - d, F.lit(0))
+        return F.zip_with(F.slice("_tok", 1, m), F.slice("_tok", d + 1, m),
+                          lambda a, b: F.when(a != b, F.concat(F.least(a, b), F.lit(sep),
+                                                               F.greatest(a, b))))
+
+    pairs = F.array_distinct(F.filter(
+        F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), shifted)),
+        lambda p: p.isNotNull()))
+    per_doc = t.select(id_col, F.explode(pairs).alias("p"))
+    counts = (per_doc.groupBy("p").agg(F.count(F.lit(1)).alias("n_docs"))
+                     .select(F.split_part("p", F.lit(sep), F.lit(1)).alias("term_a"),
+                             F.split_part("p", F.lit(sep), F.lit(2)).alias("term_b"), "n_docs"))
+    frequent = (t.select(F.explode(F.array_distinct("_tok")).alias("term"))
+                 .groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+                 .where(F.col("_df") >= min_df).select("term"))
+    return (counts.join(frequent.withColumnRenamed("term", "term_a"), "term_a", "left_semi")
+                  .join(frequent.withColumnRenamed("term", "term_b"), "term_b", "left_semi")
+                  .select("term_a", "term_b", "n_docs"))

@@ -43,8 +43,9 @@ def mon(spark: SparkSession, sf: str) -> DataFrame:
     nation ×2 ⋈ region, plus per (origin, year, month) trade aggregates.
 
     The trade aggregate is a partial (map-side) aggregation whose output is
-    bounded by nations × months; AQE broadcasts it back from its measured
-    size.  nation and region are fixed-size dimensions and are hinted.
+    bounded by nations × months and is broadcast back; nation and region are
+    fixed-size dimensions.  orders, customer and part are left to AQE
+    (broadcast when measured small, sort-merge otherwise).
     """
     li = table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
@@ -74,8 +75,11 @@ def mon(spark: SparkSession, sf: str) -> DataFrame:
            .join(sn, F.col("s_nationkey") == F.col("sn_key"))
            .join(cn, F.col("c_nationkey") == F.col("cn_key"))
            .join(F.broadcast(region), F.col("sn_region") == F.col("r_regionkey"))
-           .join(trade, (F.col("nk") == F.col("s_nationkey")) & (F.col("yr") == F.col("year"))
-                 & (F.col("mo") == F.col("month"))))
+           # one row per (origin nation, year, month): bounded by the fixed
+           # nation dimension × months, so it is broadcast and the big side
+           # is never shuffled on these low-cardinality (skew-prone) keys
+           .join(F.broadcast(trade), (F.col("nk") == F.col("s_nationkey"))
+                 & (F.col("yr") == F.col("year")) & (F.col("mo") == F.col("month"))))
     return out.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                     F.to_date("l_shipdate").cast("string")).alias("row_key"),

@@ -22,10 +22,10 @@ FROM (SELECT doc_id, t, {Q.no_stop('t')} AS c
       FROM (SELECT doc_id, {Q.tok('text')} AS t FROM documents) a) b""")
 def j5_tokenize(spark, sf):
     d = table(spark, sf, "documents")
-    t = TM.tokens("text")
-    c = TM.drop_stop_words(t)
-    return d.select("doc_id", F.size(t).alias("n_tokens"), F.size(c).alias("n_content"),
-                    F.size(TM.ngrams(c)).alias("n_terms"))
+    t = d.select("doc_id", TM.tokens("text").alias("t"))
+    c = t.select("doc_id", "t", TM.drop_stop_words(F.col("t")).alias("c"))
+    return c.select("doc_id", F.size("t").alias("n_tokens"), F.size("c").alias("n_content"),
+                    F.size(TM.ngrams(F.col("c"))).alias("n_terms"))
 
 
 @query("j5_vocabulary_min_df", f"""

@@ -12,11 +12,11 @@ TABLE_NAMES = (
 ).split()
 
 
-# Text tables feed CPU-heavy regex/array work in the map stage.  When a scan
-# yields fewer splits than the cluster has cores (a small file with a single
-# row group), spread it round-robin first; a large table already has many
-# splits and is left alone.
-TEXT_TABLES = {"documents", "pages", "conversations"}
+# Fact and text tables feed CPU-heavy map stages (broadcast-join pipelines,
+# regex/array work).  When a scan yields fewer splits than the cluster has
+# cores (a small file with a single row group), spread it round-robin first;
+# a large table already has many splits and is left alone.
+TEXT_TABLES = {"documents", "pages", "conversations", "lineitem", "orders", "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
