@@ -7,9 +7,10 @@ from .fixtures import view, with_views
 from .registry import query
 from .rounding import fround, sround as R
 
-CELLS = """count_if(label = 0 AND prediction = 0) AS tn, count_if(label = 0 AND prediction = 1) AS fp,
-       count_if(label = 1 AND prediction = 0) AS fn, count_if(label = 1 AND prediction = 1) AS tp,
-       count(*) AS n"""
+CELLS = """CAST(count_if(label = 0 AND prediction = 0) AS BIGINT) AS tn,
+       CAST(count_if(label = 0 AND prediction = 1) AS BIGINT) AS fp,
+       CAST(count_if(label = 1 AND prediction = 0) AS BIGINT) AS fn,
+       CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp, count(*) AS n"""
 
 AUC_SQL = f"""(SELECT {R("sum(pos * (neg_below + 0.5 * neg)) / (sum(pos) * sum(neg))", 8)} FROM (
    SELECT pos, neg, sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)

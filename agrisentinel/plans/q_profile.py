@@ -118,7 +118,8 @@ def d7_series(spark, sf):
 
 
 @query("d8_class_ratio", with_views(f"""
-SELECT count_if(exceeding_loq = 1) AS n_pos, count_if(exceeding_loq = 0) AS n_neg,
+SELECT CAST(count_if(exceeding_loq = 1) AS BIGINT) AS n_pos,
+       CAST(count_if(exceeding_loq = 0) AS BIGINT) AS n_neg,
        {R("count_if(exceeding_loq = 1) / nullif(count_if(exceeding_loq = 0), 0)", 8)} AS pos_per_neg,
        {R("count_if(exceeding_loq = 0) / nullif(count_if(exceeding_loq = 1), 0)", 8)} AS neg_per_pos
 FROM mon WHERE year < 2001""", "mon"))

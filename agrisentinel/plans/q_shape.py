@@ -182,7 +182,7 @@ def m1_split(spark, sf):
 
 
 @query("m1_split_sizes", with_views(f"""
-SELECT {SPLIT_SQL} AS is_test, count(*) AS n, count_if(exceeding_loq = 1) AS n_pos
+SELECT {SPLIT_SQL} AS is_test, count(*) AS n, CAST(count_if(exceeding_loq = 1) AS BIGINT) AS n_pos
 FROM mon WHERE year < {CUT_YEAR} GROUP BY 1""", "mon"))
 def m1_sizes(spark, sf):
     m = S.split_flag(view(spark, sf, "mon").where(F.col("year") < CUT_YEAR))

@@ -24,8 +24,9 @@ def j5_tokenize(spark, sf):
     d = table(spark, sf, "documents")
     t = d.select("doc_id", TM.tokens("text").alias("t"))
     c = t.select("doc_id", "t", TM.drop_stop_words(F.col("t")).alias("c"))
-    return c.select("doc_id", F.size("t").alias("n_tokens"), F.size("c").alias("n_content"),
-                    F.size(TM.ngrams(F.col("c"))).alias("n_terms"))
+    return c.select("doc_id", F.size("t").cast("bigint").alias("n_tokens"),
+                    F.size("c").cast("bigint").alias("n_content"),
+                    F.size(TM.ngrams(F.col("c"))).cast("bigint").alias("n_terms"))
 
 
 @query("j5_vocabulary_min_df", f"""

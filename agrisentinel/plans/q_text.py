@@ -79,7 +79,7 @@ SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx,
 FROM ({_chunks_sql(CHUNK)}) c""")
 def i6_chunks(spark, sf):
     c = SU.chunk_rows(table(spark, sf, "documents"), max_tokens=CHUNK)
-    return c.select("doc_id", "chunk_idx", F.size(SU.whitespace_tokens("chunk")).alias("n_tokens"),
+    return c.select("doc_id", "chunk_idx", F.size(SU.whitespace_tokens("chunk")).cast("bigint").alias("n_tokens"),
                     F.md5("chunk").alias("chunk_md5"))
 
 
@@ -89,7 +89,7 @@ SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx,
 FROM ({_chunks_sql(SMALL_CHUNK)}) c""")
 def l3_chunks(spark, sf):
     c = SU.chunk_rows(table(spark, sf, "documents"), max_tokens=SMALL_CHUNK)
-    return c.select("doc_id", "chunk_idx", F.size(SU.whitespace_tokens("chunk")).alias("n_tokens"),
+    return c.select("doc_id", "chunk_idx", F.size(SU.whitespace_tokens("chunk")).cast("bigint").alias("n_tokens"),
                     F.md5("chunk").alias("chunk_md5"))
 
 
@@ -103,7 +103,7 @@ SELECT doc_id, CAST(chunk_idx AS INTEGER) AS chunk_idx, length(p) AS n_chars, md
 FROM (SELECT doc_id, chunk_idx, {PROMPT_SQL} AS p FROM ({_chunks_sql(SMALL_CHUNK)}) c) x""")
 def i7_prompt(spark, sf):
     c = SU.prompts(SU.chunk_rows(table(spark, sf, "documents"), max_tokens=SMALL_CHUNK))
-    return c.select("doc_id", "chunk_idx", F.length("prompt").alias("n_chars"),
+    return c.select("doc_id", "chunk_idx", F.length("prompt").cast("bigint").alias("n_chars"),
                     F.md5("prompt").alias("prompt_md5"))
 
 
