@@ -24,3 +24,13 @@ def test_filter_and_columns_pushed_to_scan(spark):
     p = _plan(E.queries()["b17_offset_resume"](spark, SMALL))
     assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,758)]" in p
     assert "ReadSchema: struct<doc_id:bigint,n_chars:bigint>" in p
+
+
+MODEL_FITS = ("m5_", "m6_", "m7_", "m8_", "m9_", "m10_", "m11_", "m12_", "c1_")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith(MODEL_FITS)))
+def test_every_query_free_of_cartesian_products(spark, name):
+    p = _plan(E.queries()[name](spark, SMALL))
+    assert "CartesianProduct" not in p, name
+    assert "BroadcastNestedLoopJoin" not in p, name
