@@ -152,14 +152,22 @@ def renumber_by_size(assign: DataFrame, cluster: str = "cluster",
 
 
 def representative_docs(assign: DataFrame, k: int = 50, topic: str = "topic",
-                        text: str = "text", url: str = "url", order: str = "doc_id") -> DataFrame:
+                        text: str = "text", url: str = "url", order: str = "doc_id",
+                        snippet_chars: int = 50) -> DataFrame:
     """E4 → F2 → I12: first k distinct (document, url) per real topic in
-    arrival order, with their snippets."""
+    arrival order, with their snippets.
+
+    Documents are compared by an md5 of their text, and only the snippet's
+    prefix travels through the shuffle — never whole texts."""
     d = (assign.where(F.col(topic) != -1)
-               .groupBy(topic, text, url).agg(F.min(order).alias(order)))
+               .select(topic, url, order, F.md5(text).alias("_h"),
+                       F.substring(text, 1, snippet_chars).alias("_head"))
+               .groupBy(topic, url, "_h")
+               .agg(F.min(F.struct(order, "_head")).alias("_f"))
+               .select(topic, url, F.col("_f")[order].alias(order), F.col("_f._head").alias("_head")))
     top = top_k_per_group(d, [topic], [F.col(order), F.col(url)], k,
                           salt_key=[topic, order])
-    return top.select(topic, "rank", order, T.snippet(text, url).alias("snippet"))
+    return top.select(topic, "rank", order, T.snippet("_head", url, snippet_chars).alias("snippet"))
 
 
 def ordered_join(df: DataFrame, group: Sequence[str], order: str, value: str,
