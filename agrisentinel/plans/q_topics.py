@@ -9,7 +9,6 @@ from ..functions import text as T
 from ..operators import terms as TM
 from ..operators import topics as TP
 from ..sources.tables import table
-from . import sqltext as Q
 from .fixtures import view, with_views
 from .q_terms import COUNTS_SQL, CTFIDF_SQL
 from .q_shape import TOPIC_SUBSET
