@@ -54,7 +54,7 @@ def a3_directory(spark, sf):
               .agg(F.count(F.lit(1)).alias("n_links"), F.count_distinct("url").alias("n_urls")))
 
 
-@query("a4_required_columns")
+@query("a4_required_columns", with_views("SELECT url, '2025-06-09' AS date FROM links", "links"))
 def a4_required(spark, sf):
     path = scratch_path(spark, "a4-csv")
     lk = view(spark, sf, "links").select("url", F.lit("2025-06-09").alias("date"))
@@ -107,10 +107,12 @@ SELECT page_id, url,
                           '%Y-%m-%d %H:%M:%S') END AS published
 FROM links""", "links"))
 def a6_rss(spark, sf):
-    from ..functions.text import parse_rss_date, stamp
+    from ..functions.text import parse_rss_date
+    from ..streaming.jobs import utc_text
     items = FS.parse_rss(_rss_docs(spark, sf), "xml", keep=["page_id"])
-    return items.select("page_id", "url", "date",
-                        stamp(parse_rss_date("date")).alias("published"))
+    # the feed's dates carry their zone (GMT); print them as UTC wall clock
+    return (items.withColumn("_p", parse_rss_date("date"))
+                 .select("page_id", "url", "date", utc_text("_p").alias("published")))
 
 
 @query("a7_link_extraction", with_views("SELECT page_id, pos, url FROM links", "links"))

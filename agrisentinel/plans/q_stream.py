@@ -31,13 +31,16 @@ def _stream_dir(folder):
     return f"{folder}/*"
 
 
-@query("k1_available_now_batches")
+@query("k1_available_now_batches", """
+SELECT event_id, 'http://u/' || CAST(user_id AS VARCHAR) AS url,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time FROM events""")
 def k1_available_now(spark, sf):
     src = _stage(spark, sf)
     out, ck = scratch_path(spark, "k1-out"), scratch_path(spark, "k1-ck")
     s = J.event_stream(spark, _stream_dir(src), max_files=1)
     J.run_available_now(s.select("event_id", "url", "event_time"), out, ck)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("event_id", "url",
+                                          J.utc_text("event_time").alias("event_time"))
 
 
 DISTINCT_URLS = "SELECT DISTINCT 'http://u/' || CAST(user_id AS VARCHAR) AS url FROM events"
@@ -71,16 +74,31 @@ def k3_batch(spark, sf):
     return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
-@query("k3_window_counts_stream")
+WINDOWS_SQL = """
+WITH w AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS ws, count(*) AS n FROM events {where} GROUP BY 1),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events {where})
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(ws + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end, n
+FROM w, m WHERE ws + INTERVAL 6 HOUR <= wm"""
+
+
+def _window_text(df):
+    return df.select(J.utc_text("window_start").alias("window_start"),
+                     J.utc_text("window_end").alias("window_end"), "n")
+
+
+@query("k3_window_counts_stream", WINDOWS_SQL.format(where=""))
 def k3_stream(spark, sf):
+    # append mode: a window is emitted once the watermark (max event time
+    # − 1 hour) passes its end, so the last, still open window is withheld
     src = _stage(spark, sf)
     out, ck = scratch_path(spark, "k3-out"), scratch_path(spark, "k3-ck")
     s = J.window_counts(J.event_stream(spark, _stream_dir(src), max_files=1))
     J.run_available_now(s, out, ck)
-    return spark.read.parquet(out)
+    return _window_text(spark.read.parquet(out))
 
 
-@query("k4_late_data_watermark")
+@query("k4_late_data_watermark", WINDOWS_SQL.format(where="WHERE dayofmonth(ts) >= 21"))
 def k4_late(spark, sf):
     # files arrive out of order: the last day range lands first, so the first
     # two ranges are late for a 1-hour watermark and their rows are dropped
@@ -92,7 +110,7 @@ def k4_late(spark, sf):
     _stage(spark, sf, ranges=[(1, 10), (11, 20)], folder=folder + "/b")
     s2 = J.window_counts(J.event_stream(spark, folder + "/*/*"))
     J.run_available_now(s2, out, ck)
-    return spark.read.parquet(out)
+    return _window_text(spark.read.parquet(out))
 
 
 @query("k5_stream_static_unseen", """
@@ -111,7 +129,14 @@ def k5_unseen(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("k6_restart_idempotent")
+FIRST_PER_USER = """
+SELECT url, event_id FROM (
+  SELECT 'http://u/' || CAST(user_id AS VARCHAR) AS url, event_id,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) t
+WHERE rn = 1"""
+
+
+@query("k6_restart_idempotent", FIRST_PER_USER)
 def k6_restart(spark, sf):
     # two ranges, stop, a third arrives, restart from the same checkpoint
     folder = scratch_path(spark, "k6-in")

@@ -22,16 +22,26 @@ EVENT_SCHEMA = ("event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 
 def event_stream(spark: SparkSession, directory: str, schema: str = EVENT_SCHEMA,
                  max_files: int | None = None) -> DataFrame:
-    """K1 source: parquet files in ``directory``; ``ts`` becomes a session-zone
-    timestamp (watermarks need TIMESTAMP) and ``url`` is the record key."""
+    """K1 source: parquet files in ``directory``; ``ts`` (wall clock, UTC)
+    becomes ``event_time`` TIMESTAMP (watermarks need it) and ``url`` is the
+    record key."""
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     s = r.parquet(directory)
-    return (s.withColumn("event_time", F.col("ts").cast("timestamp"))
+    # the wall clock of ts read as UTC, whatever the session zone
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return (s.withColumn("event_time", F.timestamp_micros(micros))
              .withColumn("url", F.concat(F.lit("http://u/"), F.col("user_id").cast("string"))))
 
 
+def utc_text(col: str, fmt: str = "yyyy-MM-dd HH:mm:ss"):
+    """A timestamp's UTC wall clock as text (independent of the session zone)."""
+    ntz = F.expr(f"timestampadd(MICROSECOND, unix_micros({col}), "
+                 f"TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    return F.date_format(ntz, fmt)
+
+
 def run_available_now(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
                       partition_by: Sequence[str] = ()) -> None:
     """K1: process everything that has arrived, then stop (parquet sink)."""
