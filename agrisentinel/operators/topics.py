@@ -265,7 +265,9 @@ def topics_over_time(assign: DataFrame, scores: DataFrame, vocab_counts_fn,
             (F.coalesce("s", F.lit(0.0)) + F.coalesce("sp", F.lit(0.0))) / 2)
         sb = both.select(topic, "bin", "term", s_evo.alias("s"))
     if global_tuning:
-        gtop = top_k_per_group(glob, [topic], [F.desc("g"), F.asc("term")], top_n,
+        from ..plans.rounding import fround as _fr
+        gtop = top_k_per_group(glob.withColumn("_gr", _fr("g", 10)), [topic],
+                               [F.desc("_gr"), F.asc("term")], top_n,
                                salt_key=[topic, "term"]).select(topic, "term")
         extra = bins_of_topic.join(gtop, topic).withColumn("s", F.lit(0.0))
         cand = (sb.unionByName(extra.select(topic, "bin", "term", "s"))

@@ -10,6 +10,7 @@ from ..operators import terms as TM
 from ..operators import topics as TP
 from ..sources.tables import table
 from .fixtures import view, with_views
+from . import sqltext as Q
 from .q_terms import COUNTS_SQL, CTFIDF_SQL
 from .q_shape import TOPIC_SUBSET
 from .registry import query
@@ -361,7 +362,52 @@ def _bin_counts_fn(vocab):
     return fn
 
 
-@query("j13_topics_over_time")
+GSCORE = """
+SELECT n.topic, n.term, n.n / l.len * ln(1 + a.A / f.f) AS g, ln(1 + a.A / f.f) AS idf
+FROM counts n JOIN (SELECT topic, sum(n) AS len FROM counts GROUP BY topic) l ON l.topic = n.topic
+JOIN (SELECT term, sum(n) AS f FROM counts GROUP BY term) f ON f.term = n.term
+CROSS JOIN (SELECT floor(avg(len)) AS A FROM (SELECT topic, sum(n) AS len FROM counts
+            GROUP BY topic) x) a"""
+
+OVER_TIME_SQL = f"""
+WITH bc AS (SELECT topic, bin, term, count(*) AS n FROM ({Q.terms_cte('binned', 'topic, bin')}) o
+            WHERE term IN (SELECT term FROM counts) GROUP BY topic, bin, term),
+gidf AS (SELECT DISTINCT term, idf FROM gscore),
+blen AS (SELECT topic, bin, sum(n) AS len FROM bc GROUP BY topic, bin),
+sb AS (SELECT bc.topic, bc.bin, bc.term, bc.n / blen.len * gidf.idf AS s
+       FROM bc JOIN blen ON blen.topic = bc.topic AND blen.bin = bc.bin JOIN gidf ON gidf.term = bc.term),
+prev AS (SELECT topic, bin, lag(bin) OVER (PARTITION BY topic ORDER BY bin) AS prev_bin
+         FROM (SELECT DISTINCT topic, bin FROM binned) d),
+prv AS (SELECT p.topic, p.bin, sb.term, sb.s AS sp FROM prev p
+        JOIN sb ON sb.topic = p.topic AND sb.bin = p.prev_bin WHERE p.prev_bin IS NOT NULL),
+bothv AS (SELECT coalesce(c.topic, v.topic) AS topic, coalesce(c.bin, v.bin) AS bin,
+                 coalesce(c.term, v.term) AS term, c.s, v.sp
+          FROM sb c FULL OUTER JOIN prv v ON c.topic = v.topic AND c.bin = v.bin AND c.term = v.term),
+evo AS (SELECT b.topic, b.bin, b.term,
+               CASE WHEN p.prev_bin IS NULL THEN coalesce(b.s, CAST(0 AS DOUBLE))
+                    ELSE (coalesce(b.s, CAST(0 AS DOUBLE)) + coalesce(b.sp, CAST(0 AS DOUBLE))) / 2 END AS s
+        FROM bothv b JOIN prev p ON p.topic = b.topic AND p.bin = b.bin),
+gtop AS (SELECT topic, term FROM (SELECT topic, term, row_number() OVER (PARTITION BY topic
+           ORDER BY {R('g', 10)} DESC, term) AS rk FROM gscore) x WHERE rk <= 5),
+extra AS (SELECT p.topic, p.bin, g.term, CAST(0 AS DOUBLE) AS s FROM prev p JOIN gtop g ON g.topic = p.topic),
+cand AS (SELECT topic, bin, term, max(s) AS s FROM (SELECT * FROM evo UNION ALL SELECT * FROM extra) u
+         GROUP BY topic, bin, term),
+fin AS (SELECT c.topic, c.bin, c.term, (c.s + coalesce(g.g, CAST(0 AS DOUBLE))) / 2 AS s
+        FROM cand c LEFT JOIN gscore g ON g.topic = c.topic AND g.term = c.term),
+rk AS (SELECT *, row_number() OVER (PARTITION BY topic, bin ORDER BY {R('s', 10)} DESC, term) AS rank
+       FROM fin),
+words AS (SELECT topic, bin, string_agg(term, ', ' ORDER BY rank) AS words FROM rk WHERE rank <= 5
+          GROUP BY topic, bin),
+freq AS (SELECT topic, bin, {R("CASE WHEN bin = 0 THEN lo - (hi - lo) * 0.001 ELSE lo + bin * ((hi - lo) / "
+                               + str(NR_BINS) + ") END", 3)} AS bin_start, count(*) AS frequency
+         FROM binned GROUP BY topic, bin, lo, hi)
+SELECT f.topic, f.bin, f.bin_start, f.frequency, w.words
+FROM freq f LEFT JOIN words w ON w.topic = f.topic AND w.bin = f.bin"""
+
+
+@query("j13_topics_over_time", with_views(OVER_TIME_SQL, "topics",
+                                          extra={"counts": COUNTS_SQL, "gscore": GSCORE,
+                                                 "binned": BINS_SQL}))
 def j13_over_time(spark, sf):
     scores = _scores(spark, sf)
     vocab = scores.select("term").distinct()
