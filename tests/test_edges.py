@@ -173,3 +173,22 @@ def test_html_parsed_and_regex_agree_on_clean_html(spark):
     df = spark.createDataFrame([(html,)], "html string")
     r = df.select(H.html_text_regex("html").alias("a"), H.html_text_parsed("html").alias("b")).collect()[0]
     assert r.a == r.b == "Hello world & more"
+
+
+def test_one_hot_unseen_and_null_categories(spark):
+    from pyspark.ml.functions import vector_to_array
+    from agrisentinel.operators import classify as C
+    train = spark.createDataFrame([("a", 1.0, 0.0), ("b", None, 1.0), (None, 2.0, 0.0)],
+                                  "origin string, x double, label double")
+    test = spark.createDataFrame([("zz", float("nan"), 1.0)], "origin string, x double, label double")
+    cats, nums = C.feature_columns(train, ["label"])
+    enc = C.encoder(cats, nums).fit(C.prepare(train, cats, nums))
+    tr = {r.origin: r.f for r in enc.transform(C.prepare(train, cats, nums))
+          .select("origin", vector_to_array("features").alias("f")).collect()}
+    te = enc.transform(C.prepare(test, cats, nums)).select(
+        vector_to_array("features").alias("f")).collect()[0].f
+    # three levels seen in training (null is its own level) keep one slot each;
+    # the indexer's unseen bucket is the dropped last slot, so unseen → all zeros
+    assert len(te) == 4 and te[:3] == [0.0, 0.0, 0.0] and te[3] == C.MISSING
+    assert tr[C.NULL_LEVEL][:3] != [0.0, 0.0, 0.0]
+    assert tr["b"][3] == C.MISSING
