@@ -1,25 +1,35 @@
 """Stop-word lists.
 
-The English list is Spark ML's own (``StopWordsRemover`` ships it inside the
-mllib jar); it is read from the jar once, without a JVM, so the same list can
-be inlined into DuckDB SQL.  Any list can be passed instead.
+The English list equals Spark ML's ``StopWordsRemover`` default.  It is written
+out here so that the SQL twins can inline it without a JVM or the Spark jars;
+other languages are asked from the running session.
 """
 
 from __future__ import annotations
 
 import functools
-import glob
-import os
-import zipfile
+
+# The English list of Spark ML's StopWordsRemover.
+ENGLISH = """
+i me my myself we our ours ourselves you your yours yourself yourselves he him his
+himself she her hers herself it its itself they them their theirs themselves what which
+who whom this that these those am is are was were be been being have has had having do
+does did doing a an the and but if or because as until while of at by for with about
+against between into through during before after above below to from up down in out on
+off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will
+just don should now i'll you'll he'll she'll we'll they'll i'd you'd he'd she'd we'd
+they'd i'm you're he's she's it's we're they're i've we've you've they've isn't aren't
+wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't shan't
+shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+"""
 
 
 @functools.lru_cache(maxsize=None)
 def spark_stop_words(language: str = "english") -> tuple[str, ...]:
-    import pyspark
+    if language == "english":
+        return tuple(ENGLISH.split())
+    from pyspark.ml.feature import StopWordsRemover
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    if not jars:
-        raise FileNotFoundError("spark-mllib jar not found")
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w.strip() for w in raw.splitlines() if w.strip())
+    return tuple(StopWordsRemover.loadDefaultStopWords(language))
