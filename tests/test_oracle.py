@@ -5,9 +5,11 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from agrisentinel.plans import ORACLE as SQL
+from agrisentinel.plans import load_all
 from conftest import SMALL
 
-SQL = E.oracle_sql()
+load_all()
 
 
 def _norm(v):

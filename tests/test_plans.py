@@ -4,8 +4,11 @@ products or nested-loop joins in queries that do not need them."""
 import pytest
 
 import __spark_entry__ as E
+from agrisentinel.plans import QUERIES, load_all
 from conftest import SMALL
 
+load_all()
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -29,7 +32,7 @@ def test_filter_and_columns_pushed_to_scan(spark):
 MODEL_FITS = ("m5_", "m6_", "m7_", "m8_", "m9_", "m10_", "m11_", "m12_", "c1_")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith(MODEL_FITS)))
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(MODEL_FITS)))
 def test_every_query_free_of_cartesian_products(spark, name):
     p = _plan(E.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in p, name
