@@ -16,10 +16,11 @@ differ, so with the feature domain cut into partitions
 and two linked sets share at least one signature: no link is lost.
 
 Equal sets are collapsed to one class first.  Members of a signature are tried
-against its smallest member (a star, not all pairs); a signature whose members
-are then still in several components is tried across those components.  Every
-candidate pair is checked exactly on the two shingle sets, so the components
-equal those of the full similarity graph.
+against one hub, its most central member (a star, not all pairs).  Members that
+the hub leaves unconnected are tried against those members that share one of
+their differences from the hub (``_by_difference``), which any link needs.
+Every candidate pair is checked exactly on the two shingle sets, so the
+components equal those of the full similarity graph.
 
 Null or empty texts have no shingles and link with nothing.  Rows with a null
 id are returned with a null component.  Rows that repeat an id are one node of
@@ -169,17 +170,68 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(_scan(shingle, num, den), SCAN)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (src, dst) whose shingle sets reach the similarity."""
+def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Pairs (src, dst) with the exact verdict and how dst's set differs from src's.
+
+    ``added`` and ``removed`` keep, in hash order, as many differing features as
+    any partner of dst must share one of (see ``_by_difference``).
+    """
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     ids = broadcast_if_small(materialise(ids, "op10-ids"), 40)
     sets = docs.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, features array<long>")
     sets = materialise(sets, "op10-sets")
     both = (pairs.join(sets.select(F.col("id").alias("dst"), F.col("features").alias("y")), "dst")
                  .join(sets.select(F.col("id").alias("src"), F.col("features").alias("x")), "src"))
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    total = F.size("x") + F.size("y") - shared
-    return materialise(both.where(den * shared >= num * total).select("src", "dst"), "op10-links")
+    diff = both.select("src", "dst", F.size("y").alias("n"), F.size("x").alias("n_src"),
+                       F.array_except("y", "x").alias("added"), F.array_except("x", "y").alias("removed"))
+    n_added, n_removed = F.size("added"), F.size("removed")
+    shared = F.col("n") - n_added
+    room = F.floor(F.col("n") * (den - num) / F.lit(num)).cast("int")
+    out = diff.select(
+        "src", "dst", "n", n_added.alias("n_added"), n_removed.alias("n_removed"),
+        (den * shared >= num * (F.col("n_src") + n_added)).alias("linked"),
+        F.slice("added", 1, room + 1).alias("added"),
+        F.slice("removed", 1, F.greatest(room - n_added + 1, F.lit(0))).alias("removed"))
+    return materialise(out, "op10-compared")
+
+
+def _by_difference(compared: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs still to try among the members v, w tried against one hub h.
+
+    With A, R what a member adds to and lacks of h, the sets of v and w differ in
+    ``|A_v ^ A_w| + |R_v ^ R_w|`` features.  If v does not link to h, a link of v
+    and w needs a common feature in A or, with A disjoint, in R (otherwise w's
+    larger size would have to make up for all of its own difference).  At most
+    ``K`` features differ, so the smallest common one is among the first K + 1 of
+    A, or the first K - |A| + 1 of R, of either side.  Members already in one
+    component are not tried.
+    """
+    family = (compared.join(comp.select(F.col("id").alias("dst"), F.col("component").alias("of")), "dst")
+                      .join(comp.select(F.col("id").alias("src"), F.col("component").alias("hub_of")), "src"))
+    open_hubs = (family.groupBy("src").agg(F.count(F.lit(1)).alias("members"),
+                                           F.max(F.col("of") != F.col("hub_of")).alias("open"))
+                       .where("members > 1 and open").select("src"))
+    family = family.join(open_hubs, "src", "left_semi")
+    base = ["src", "dst", "n", "n_added", "n_removed", "of", "hub_of"]
+    feature = materialise(
+        family.select(*base, F.lit(0).alias("kind"), F.explode("added").alias("feature"))
+              .union(family.select(*base, F.lit(1).alias("kind"), F.explode("removed").alias("feature"))),
+        "op10-features")
+    # features that one member alone has lead to no pair
+    common = (feature.groupBy("src", "kind", "feature")
+                     .agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
+                     .select("src", "kind", "feature"))
+    feature = materialise(feature.join(common, ["src", "kind", "feature"], "left_semi"), "op10-common")
+    v, w = feature.where("of != hub_of").alias("v"), feature.alias("w")
+    same = [F.col(f"v.{c}") == F.col(f"w.{c}") for c in ("src", "kind", "feature")]
+    size = F.col("v.n") + F.col("w.n")
+    apart = F.when(F.col("v.kind") == 1, F.col("v.n_added") + F.col("w.n_added")
+                   + F.abs(F.col("v.n_removed") - F.col("w.n_removed"))).otherwise(
+        F.greatest(F.abs(F.col("v.n") - F.col("w.n")), F.abs(F.col("v.n_removed") - F.col("w.n_removed"))))
+    return (v.join(w, same[0] & same[1] & same[2] & (F.col("v.of") != F.col("w.of"))
+                   & ((den + num) * apart <= (den - num) * size))
+             .select(F.least("v.dst", "w.dst").alias("src"), F.greatest("v.dst", "w.dst").alias("dst"))
+             .distinct())
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -194,25 +246,25 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                          ["id", "set_a", "set_b"], "left_semi")
     signed = signing.select(F.explode("sigs").alias("sig"), "id")
     by_sig = Window.partitionBy("sig")
-    shared = (signed.withColumns({"hub": F.min("id").over(by_sig), "last": F.max("id").over(by_sig)})
-                    .where(F.col("hub") < F.col("last")).drop("last").distinct())
+    shared = (signed.withColumns({"first": F.min("id").over(by_sig), "last": F.max("id").over(by_sig),
+                                  "members": F.count(F.lit(1)).over(by_sig)})
+                    .where(F.col("first") < F.col("last")).select("sig", "id", "members").distinct())
     shared = materialise(shared, "op10-shared")
-    tried = materialise(shared.where("id != hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
-                              .distinct(), "op10-star")
-    links = _verified(tried, rows, shingle, num, den)
+    # the hub of a signature is its member with the most company over all its signatures
+    company = shared.groupBy("id").agg(F.sum("members").alias("company"))
+    ranked = shared.join(company, "id").select(
+        "sig", "id", F.struct("company", (-F.col("id")).alias("neg")).alias("rank"))
+    hubs = ranked.groupBy("sig").agg((-F.max("rank")["neg"]).alias("hub"))
+    tried = materialise(shared.join(hubs, "sig").where("id != hub")
+                              .select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct(), "op10-star")
+    star = _compared(tried, rows, shingle, num, den)
     nodes = shared.select("id").distinct()
+    links = star.where("linked").select("src", "dst")
     comp = materialise(connected_components(nodes, links), "op10-comp")
-    # signatures whose members are not all connected yet: across their components
-    placed = shared.join(comp, "id").select("sig", "id", "component")
-    mixed = (placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .where("lo < hi").select("sig"))
-    rest = materialise(placed.join(mixed, "sig", "left_semi"), "op10-open")
-    across = (rest.alias("a").join(rest.alias("b"), "sig")
-                  .where("a.id < b.id and a.component != b.component")
-                  .select(F.col("a.id").alias("src"), F.col("b.id").alias("dst")).distinct())
-    across = materialise(across.join(tried, ["src", "dst"], "left_anti"), "op10-across")
-    if across.limit(1).count():
-        more = _verified(across, rows, shingle, num, den)
+    both_ways = tried.union(tried.select("dst", "src"))
+    rest = materialise(_by_difference(star, comp, num, den).join(both_ways, ["src", "dst"], "left_anti"), "op10-rest")
+    if rest.limit(1).count():
+        more = _compared(rest, rows, shingle, num, den).where("linked").select("src", "dst")
         if more.limit(1).count():
             comp = materialise(connected_components(nodes, links.union(more)), "op10-comp")
     placed_class = (classes.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
