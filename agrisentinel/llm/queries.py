@@ -5,8 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op10_ngram_join
-from .tables import read_documents
+from . import op1_decontaminate, op2_run_length_dedup, op10_ngram_join
+from .tables import read_documents, read_table
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    found = op1_decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+item AS (
+  SELECT item_id, least(len(words), 10) AS n, words[s + 1 : s + 10] AS win
+  FROM (SELECT item_id, words, unnest(range(0, greatest(len(words) - 10, 0) + 1)) AS s FROM b WHERE len(words) > 0)),
+sizes AS (SELECT DISTINCT n FROM item),
+place AS (
+  SELECT doc_id, s, n, words[s + 1 : s + n] AS win
+  FROM (SELECT doc_id, words, n, unnest(range(0, greatest(len(words) - n + 1, 0))) AS s FROM w, sizes)),
+hit AS (SELECT p.doc_id, p.s, p.n, i.item_id FROM place p JOIN item i ON p.n = i.n AND p.win = i.win),
+cover AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+          FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hit) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_run_length_dedup.remove_repeats(read_documents(spark, sf_dir), length=200).drop("kept")
+
+
+OP2_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, len(x) // 2 AS n_bytes FROM h),
+win AS (SELECT doc_id, s, hash(substring(x, 2 * s + 1, 400)) AS k, substring(x, 2 * s + 1, 400) AS v
+        FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 199)) AS s FROM n WHERE n_bytes >= 200)),
+often AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+twice AS (SELECT v FROM win SEMI JOIN often USING (k) GROUP BY v HAVING count(*) > 1),
+hit AS (SELECT doc_id, s FROM win SEMI JOIN twice USING (v)),
+edge AS (SELECT doc_id, s, s - coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) > 200 AS fresh FROM hit),
+run AS (SELECT doc_id, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM edge),
+span AS (SELECT doc_id, g, min(s) AS lo, max(s) + 200 AS hi FROM run GROUP BY ALL),
+gap AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM span),
+cut AS (SELECT g.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans,
+               string_agg(substring(x, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo)
+                 || substring(any_value(x), 2 * max(hi) + 1) AS kept
+        FROM gap g JOIN n USING (doc_id) GROUP BY g.doc_id)
+SELECT n.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN cut USING (doc_id)
+"""
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +76,36 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(words[s + 1 : s + 4], ' ') AS f
+  FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 4, 0) + 1)) AS s FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+           FROM g a JOIN g b ON a.f = b.f AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+         WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+e AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
+       least(w.doc_id, coalesce(m.lo, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT x AS doc_id, min(y) AS lo FROM reach GROUP BY x) m USING (doc_id)
+"""
+
+
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_benchmark_decontamination": OP1_SQL,
+    "op2_suffix_array_dedup": OP2_SQL,
+    "op10_ngram_jaccard_join": OP10_SQL,
+}
