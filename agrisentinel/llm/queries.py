@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_decontaminate, op2_run_length_dedup, op10_ngram_join
+from . import op1_decontaminate, op2_run_length_dedup, op3_mix, op5_line_templates, op6_nbsvm, op10_ngram_join
 from .tables import read_documents, read_table
 
 
@@ -71,6 +71,54 @@ FROM n LEFT JOIN cut USING (doc_id)
 """
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_mix.mix(read_documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op5_line_templates.drop_recurring_lines(read_documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped",
+                        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+t AS (SELECT doc_id, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS toks
+      FROM (SELECT doc_id, unnest(list_distinct(lines)) AS line FROM d)),
+p AS (SELECT line, toks, CAST(len(toks) AS VARCHAR) || ' ' || array_to_string(
+             list_transform(toks[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf
+      FROM t WHERE len(toks) >= 4),
+frequent AS (SELECT leaf FROM p GROUP BY leaf HAVING count(*) >= 10),
+here AS (SELECT leaf, line, toks, count(*) AS docs FROM p SEMI JOIN frequent USING (leaf) GROUP BY ALL),
+spread AS (SELECT leaf, line, docs, unnest(range(0, len(toks))) AS place, unnest(toks) AS token FROM here),
+fixed AS (SELECT leaf, place, token FROM spread GROUP BY ALL HAVING sum(docs) >= 10),
+template AS (
+  SELECT s.leaf, s.line, s.docs, count(*) AS n, count(f.token) AS n_fixed,
+         string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE s.token END, ' ' ORDER BY s.place) AS template
+  FROM spread s LEFT JOIN fixed f ON s.leaf = f.leaf AND s.place = f.place AND s.token = f.token
+  GROUP BY s.leaf, s.line, s.docs),
+recurring AS (SELECT leaf, template FROM template GROUP BY ALL HAVING sum(docs) >= 10),
+gone AS (SELECT DISTINCT line FROM template SEMI JOIN recurring USING (leaf, template) WHERE 2 * n_fixed >= n),
+each AS (SELECT doc_id, i, line, line IN (SELECT line FROM gone) AS hit,
+                len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
+         FROM (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM d)),
+sums AS (SELECT doc_id, count(*) AS n, count(*) FILTER (hit) AS n_hit,
+                2 * coalesce(sum(words) FILTER (hit), 0) <= sum(words) AND bool_or(hit) AS cut,
+                string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit) AS rest
+         FROM each GROUP BY doc_id)
+SELECT d.doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE n END AS BIGINT) AS n_lines,
+       CAST(CASE WHEN cut THEN n_hit ELSE 0 END AS BIGINT) AS n_dropped,
+       sha256(CASE WHEN cut THEN coalesce(rest, '') ELSE text END) AS kept_sha256
+FROM d JOIN sums USING (doc_id)
+"""
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    scored = op6_nbsvm.quality_scores(docs, read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op10_ngram_join.similarity_classes(read_documents(spark, sf_dir), shingle=4, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -101,11 +149,15 @@ LEFT JOIN (SELECT x AS doc_id, min(y) AS lo FROM reach GROUP BY x) m USING (doc_
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op2_suffix_array_dedup": OP2_SQL,
+    "op5_line_dedup": OP5_SQL,
     "op10_ngram_jaccard_join": OP10_SQL,
 }
