@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_decontaminate, op2_run_length_dedup, op3_mix, op5_line_templates, op6_nbsvm, op10_ngram_join
+from . import (op1_decontaminate, op2_run_length_dedup, op3_mix, op4_perplexity, op5_line_templates, op6_nbsvm,
+               op7_language_evidence, op8_license_digests, op9_separator_scan, op10_ngram_join)
 from .tables import read_documents, read_table
 
 
@@ -75,6 +76,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_mix.mix(read_documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4_perplexity.quality_rules(read_documents(spark, sf_dir))
+    return found.select("doc_id", *op4_perplexity.COUNTS, "base_failed", "kept")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op5_line_templates.drop_recurring_lines(read_documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_dropped",
@@ -119,6 +125,48 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7_language_evidence.identify(read_table(spark, sf_dir, "pages"), read_documents(spark, sf_dir))
+    return found.withColumnRenamed("page", "page_id")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_license_digests.scan(read_documents(spark, sf_dir))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(column: str) -> str:
+    out = f"regexp_replace(lower({column}), {_sql_text(op8_license_digests.COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"' ' || regexp_replace({out}, '[^a-z0-9]+', ' ', 'g') || ' '"
+    for old, new in op8_license_digests.SPELLINGS:
+        out = f"replace({out}, ' {old} ', ' {new} ')"
+    return f"nullif(trim({out}), '')"
+
+
+OP8_SQL = rf"""
+WITH known AS (
+  SELECT DISTINCT sha256({_canonical_sql('text')}) AS digest, license
+  FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in op8_license_digests.KNOWN)}) t(license, text)),
+part AS (
+  SELECT doc_id, text, unnest(list_distinct(list_concat([text], list_concat(
+         string_split_regex(text, '\n[\x20\x09-\x0D]*\n'), string_split(text, chr(10)))))) AS block
+  FROM documents WHERE text IS NOT NULL),
+hit AS (SELECT doc_id, block = text AS is_whole, digest, license
+        FROM (SELECT *, sha256({_canonical_sql('block')}) AS digest FROM part) JOIN known USING (digest)),
+found AS (SELECT doc_id, max(license) FILTER (is_whole) AS whole_license, count(DISTINCT digest) AS n_blocks,
+                 array_to_string(list_sort(list(DISTINCT license)), ',') AS licenses FROM hit GROUP BY doc_id)
+SELECT doc_id, whole_license, CAST(coalesce(n_blocks, 0) AS BIGINT) AS n_blocks, coalesce(licenses, '') AS licenses
+FROM documents LEFT JOIN found USING (doc_id)
+"""
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_separator_scan.document_tokens(read_documents(spark, sf_dir))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op10_ngram_join.similarity_classes(read_documents(spark, sf_dir), shingle=4, num=85, den=100)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -150,8 +198,12 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -159,5 +211,6 @@ ORACLE: dict[str, str] = {
     "op1_benchmark_decontamination": OP1_SQL,
     "op2_suffix_array_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op8_license_scan": OP8_SQL,
     "op10_ngram_jaccard_join": OP10_SQL,
 }
