@@ -11,7 +11,8 @@ differ, so with the feature domain cut into partitions
   (at least 3 partitions are untouched by K differences),
 * K >= 4:  n = K + 1 + m partitions, every partition is a signature (m + 1 are
   untouched; a partition without features signs only for a set that has more
-  than m such partitions - any other pair shares a non-empty one as well),
+  than m such partitions - any other pair shares a non-empty one as well; and of
+  its signatures a set may forgo the m most frequent ones, less its empty ones),
 
 and two linked sets share at least one signature: no link is lost.
 
@@ -42,7 +43,8 @@ from . import hashing as H
 from .tables import broadcast_if_small, materialise
 
 U = np.uint64
-SCAN = "id long, n_shingles long, set_a long, set_b long, sigs array<long>"
+SCAN = ("id long, n_shingles long, set_a long, set_b long, sigs array<long>, spare long, "
+        "sigs_up array<long>, spare_up long")
 
 
 def size_bands(num: int, den: int, largest: int) -> np.ndarray:
@@ -64,14 +66,15 @@ def _set_sums(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def band_signatures(sets: np.ndarray, sizes: np.ndarray, band: np.ndarray,
-                    diff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                    diff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of sets (each sorted ascending, concatenated) for one band each.
 
-    Returns ``(set index, signature)``; bands of K = 0 link equal sets only and
-    need none.
+    Returns ``(set index, signature, spare)``; bands of K = 0 link equal sets only
+    and need none.  ``spare``: how many of a set's signatures any linked pair
+    shares beyond one.
     """
     k = diff[band]
-    n = np.where(k <= 3, k + 3, k + 1 + 2 + k // 20)
+    n = np.where(k <= 3, k + 3, k + 1 + 4 + 3 * k // 10)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     base = np.cumsum(n) - n
     part = ((sets >> U(32)) * np.repeat(n, sizes).astype(U) >> U(32)).astype(np.int64)
@@ -86,8 +89,8 @@ def band_signatures(sets: np.ndarray, sizes: np.ndarray, band: np.ndarray,
     salt = H.mix((band[of].astype(U) << U(32)) + index.astype(U) + U(7))
     own, sigs = [], []
     empty = np.bincount(of, weights=~seen, minlength=len(sizes)).astype(np.int64)
-    spare = n - k - 1
-    use = (k[of] >= 4) & (seen | (empty > spare)[of])
+    spare = np.where(k >= 4, n - k - 1, 0) - empty
+    use = (k[of] >= 4) & (seen | (spare < 0)[of])
     own.append(of[use])
     sigs.append(H.mix(sums[use] ^ salt[use]))
     cell = H.mix(sums ^ salt)
@@ -97,7 +100,14 @@ def band_signatures(sets: np.ndarray, sizes: np.ndarray, band: np.ndarray,
             total = sum((cell[base[rows] + j] for j in subset), np.zeros(len(rows), U))
             own.append(rows)
             sigs.append(H.mix(total))
-    return np.concatenate(own), np.concatenate(sigs)
+    return np.concatenate(own), np.concatenate(sigs), np.maximum(spare, 0)
+
+
+def _lists(own: np.ndarray, sigs: np.ndarray, n: int) -> pa.ListArray:
+    order = np.argsort(own, kind="stable")
+    counts = np.bincount(own, minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)),
+                                    pa.array(H.signed(sigs[order])))
 
 
 def _distinct_sets(hashes: np.ndarray, per_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,22 +141,22 @@ def _scan(k: int, num: int, den: int):
                 a[full] = _set_sums(H.mix(sets), begin[full])
                 b[full] = _set_sums(H.mix(sets ^ U(0x8EBC6AF09C88C6E3)), begin[full])
                 band = np.searchsorted(edges, sizes, "right") - 1
-                own, sigs = band_signatures(sets, sizes[full], band[full], diff)
-                own = full[own]
+                n = len(sizes)
                 reach = -(-edges[np.minimum(band + 1, len(edges) - 1)] * num // den)
                 up = np.flatnonzero((sizes > 0) & (sizes >= reach) & (band + 1 < len(diff)))
-                member = np.zeros(len(sizes), bool)
+                member = np.zeros(n, bool)
                 member[up] = True
-                own2, sigs2 = band_signatures(sets[np.repeat(member, sizes)], sizes[up], band[up] + 1, diff)
-                own, sigs = np.r_[own, up[own2]], np.r_[sigs, sigs2]
-                order = np.argsort(own, kind="stable")
-                counts = np.bincount(own, minlength=len(sizes))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(H.signed(sigs[order])))
+                columns = []
+                for rows, of_rows, at in ((full, sets, band[full]),
+                                          (up, sets[np.repeat(member, sizes)], band[up] + 1)):
+                    own, sigs, spare = band_signatures(of_rows, sizes[rows], at, diff)
+                    every = np.zeros(n, np.int64)
+                    every[rows] = spare
+                    columns += [_lists(rows[own], sigs, n), pa.array(every)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, j - i).cast(pa.int64()), pa.array(sizes), pa.array(H.signed(a)),
-                     pa.array(H.signed(b)), lists],
-                    names=["id", "n_shingles", "set_a", "set_b", "sigs"])
+                     pa.array(H.signed(b)), *columns],
+                    names=["id", "n_shingles", "set_a", "set_b", "sigs", "spare", "sigs_up", "spare_up"])
     return run
 
 
@@ -244,12 +254,23 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # one row of each class signs; rows that repeat (id, set) sign alike and fall together below
     signing = named.join(classes.select(F.col("class_id").alias("id"), "set_a", "set_b"),
                          ["id", "set_a", "set_b"], "left_semi")
-    signed = signing.select(F.explode("sigs").alias("sig"), "id")
+    # (id, band) as one number: twice the id, plus one for the next band
+    signed = signing.select(F.explode("sigs").alias("sig"), (2 * F.col("id")).alias("signer")).union(
+        signing.select(F.explode("sigs_up").alias("sig"), (2 * F.col("id") + 1).alias("signer")))
     by_sig = Window.partitionBy("sig")
-    shared = (signed.withColumns({"first": F.min("id").over(by_sig), "last": F.max("id").over(by_sig),
+    shared = (signed.withColumns({"first": F.min("signer").over(by_sig), "last": F.max("signer").over(by_sig),
                                   "members": F.count(F.lit(1)).over(by_sig)})
-                    .where(F.col("first") < F.col("last")).select("sig", "id", "members").distinct())
+                    .where(F.shiftright("first", 1) < F.shiftright("last", 1)).select("sig", "signer", "members"))
     shared = materialise(shared, "op10-shared")
+    # a linked pair shares spare + 1 signatures of the band, so its rarest common one
+    # is left when each member forgoes its ``spare`` most frequent ones
+    spares = signing.select((2 * F.col("id")).alias("signer"), "spare").union(
+        signing.select((2 * F.col("id") + 1).alias("signer"), F.col("spare_up").alias("spare"))
+    ).groupBy("signer").agg(F.min("spare").alias("spare"))
+    hottest = Window.partitionBy("signer").orderBy(F.desc("members"), "sig")
+    shared = (shared.join(spares, "signer").withColumn("rank", F.row_number().over(hottest)).where("rank > spare")
+                    .select("sig", F.shiftright("signer", 1).alias("id")).distinct())
+    shared = materialise(shared.withColumns({"members": F.count(F.lit(1)).over(by_sig)}).where("members > 1"), "op10-rare")
     # the hub of a signature is its member with the most company over all its signatures
     company = shared.groupBy("id").agg(F.sum("members").alias("company"))
     ranked = shared.join(company, "id").select(
@@ -269,7 +290,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             comp = materialise(connected_components(nodes, links.union(more)), "op10-comp")
     placed_class = (classes.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
                            .select("set_a", "set_b", F.coalesce("component", "class_id").alias("component_id")))
-    return (scan.drop("sigs").join(placed_class, ["set_a", "set_b"], "left")
+    return (scan.select("id", "n_shingles", "set_a", "set_b").join(placed_class, ["set_a", "set_b"], "left")
                 .select("id", "n_shingles",
                         F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id")))
                          .otherwise(F.col("id")).alias("component_id")))
