@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cluster import connected_components
 from . import hashing as H
-from .tables import broadcast_if_small, materialise
+from .tables import broadcast_if_small, materialise, release
 
 U = np.uint64
 SCAN = ("id long, n_shingles long, set_a long, set_b long, sigs array<long>, spare long, "
@@ -248,8 +248,9 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id``."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scan = materialise(signatures(rows, "id", "text", shingle, num, den), "op10-scan")
-    named = scan.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
+    signs = materialise(signatures(rows, "id", "text", shingle, num, den), "op10-scan")
+    scan = materialise(signs.select("id", "n_shingles", "set_a", "set_b"), "op10-sizes")
+    named = signs.where(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     classes = materialise(named.groupBy("set_a", "set_b").agg(F.min("id").alias("class_id")), "op10-classes")
     # one row of each class signs; rows that repeat (id, set) sign alike and fall together below
     signing = named.join(classes.select(F.col("class_id").alias("id"), "set_a", "set_b"),
@@ -262,11 +263,12 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                   "members": F.count(F.lit(1)).over(by_sig)})
                     .where(F.shiftright("first", 1) < F.shiftright("last", 1)).select("sig", "signer", "members"))
     shared = materialise(shared, "op10-shared")
+    spares = materialise(signing.select((2 * F.col("id")).alias("signer"), "spare").union(
+        signing.select((2 * F.col("id") + 1).alias("signer"), F.col("spare_up").alias("spare"))
+    ).groupBy("signer").agg(F.min("spare").alias("spare")), "op10-spares")
+    release(signs)
     # a linked pair shares spare + 1 signatures of the band, so its rarest common one
     # is left when each member forgoes its ``spare`` most frequent ones
-    spares = signing.select((2 * F.col("id")).alias("signer"), "spare").union(
-        signing.select((2 * F.col("id") + 1).alias("signer"), F.col("spare_up").alias("spare"))
-    ).groupBy("signer").agg(F.min("spare").alias("spare"))
     hottest = Window.partitionBy("signer").orderBy(F.desc("members"), "sig")
     shared = (shared.join(spares, "signer").withColumn("rank", F.row_number().over(hottest)).where("rank > spare")
                     .select("sig", F.shiftright("signer", 1).alias("id")).distinct())

@@ -119,28 +119,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
                   text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every row of ``docs`` with its exact phrase matches.
 
-    Adds ``words`` (array), ``hits`` (array of item, from, n: the word positions
-    of each occurring window), ``n_words, n_hit, n_items, items`` (ids as sorted
-    strings).  Documents are read as they are; no row is dropped.
+    Adds ``hits`` (array of item, from, n: the word positions of each occurring
+    window), ``n_words, n_hit, n_items, items`` (ids as sorted strings).  Documents are read as they are; no row is dropped.
     """
     items = materialise(item_words(benchmark, item_col, item_text), "op1-items")
     places = candidate_places(docs, items, window, id_col, text_col)
-    grouped = (places.join(items, "item")
-                     .groupBy("doc", "tkey")
-                     .agg(F.collect_list(F.struct("item", "shift", "words")).alias("places")))
-    grouped = materialise(grouped, "op1-places")
-    rows = docs.withColumns({"_tkey": F.xxhash64(text_col), "words": words(F.col(text_col))}).alias("d")
-    joined = rows.join(broadcast_if_small(grouped, 2048).alias("g"),
-                       F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc")) & (F.col("d._tkey") == F.col("g.tkey")), "left")
-    out = joined.select("d.*", "g.places").withColumn(
-        "hits", F.coalesce(F.expr(_hits(window)), F.expr("array()")))
-    covered = F.array_distinct(F.flatten(F.transform(
-        "hits", lambda h: F.sequence(h["from"], h["from"] + h["n"] - 1))))
+    grouped = materialise(places.join(items, "item").groupBy("doc", "tkey").agg(
+        F.collect_list(F.struct("item", "shift", "words")).alias("places")), "op1-places")
+    rows = docs.withColumn("_tkey", F.xxhash64(text_col))
+
+    def same_row() -> Column:
+        return F.col(f"d.{id_col}").eqNullSafe(F.col("g.doc")) & (F.col("d._tkey") == F.col("g.tkey"))
+    # only documents with a place to look at meet their places
+    some = rows.alias("d").join(broadcast_if_small(grouped.select("doc", "tkey"), 40).alias("g"), same_row(), "left_semi")
+    some = some.select(F.col(id_col), "_tkey", F.col(text_col).alias("_text")).dropDuplicates([id_col, "_tkey"])
+    looked = (some.alias("d").join(grouped.alias("g"), same_row())
+                  .select("doc", "tkey", "places", words(F.col("_text")).alias("words"))
+                  .select("doc", "tkey", F.expr(_hits(window)).alias("hits")).where("size(hits) > 0"))
+    covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["from"], h["from"] + h["n"] - 1))))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"].cast("string"))))
-    return out.withColumns({
-        "n_words": F.size("words").cast("long"),
-        "n_hit": F.when(F.size("hits") == 0, F.lit(0)).otherwise(F.size(covered)).cast("long"),
-        "items": ids}).withColumn("n_items", F.size("items").cast("long")).drop("_tkey", "places")
+    found = materialise(looked.select("doc", "tkey", "hits", F.size(covered).cast("long").alias("n_hit"),
+                                      ids.alias("items")), "op1-found")
+    each = 96 + 24 * int(found.agg(F.coalesce(F.ceil(F.avg(F.size("hits"))), F.lit(0))).first()[0])
+    out = rows.alias("d").join(broadcast_if_small(found, each).alias("g"), same_row(), "left")
+    return out.select("d.*", "g.hits", "g.n_hit", "g.items").withColumns({
+        "n_words": F.size(words(F.col(text_col))).cast("long"),
+        "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
+        "hits": F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)),
+        "items": F.coalesce("items", F.array().cast("array<string>")),
+        "n_items": F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long")}).drop("_tkey")
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 10, id_col: str = "doc_id",
