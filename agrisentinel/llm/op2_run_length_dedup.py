@@ -240,7 +240,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark: SparkSession = docs.sparkSession
     items = materialise(keyed.where(F.octet_length("text") >= length).select("id", "tkey", "text")
                              .mapInArrow(_items(length, gram), ITEMS), "op2-items")
-    often = items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # stored first, so that the join's two sides are plain exchanges, which AQE can split
+    often = materialise(items.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "op2-often")
     members = materialise(items.join(often, "h", "left_semi"), "op2-members")
     classes = materialise(
         members.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("copies"),
