@@ -141,13 +141,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     found = materialise(looked.select("doc", "tkey", "hits", F.size(covered).cast("long").alias("n_hit"),
                                       ids.alias("items")), "op1-found")
     each = 96 + 24 * int(found.agg(F.coalesce(F.ceil(F.avg(F.size("hits"))), F.lit(0))).first()[0])
+    found = found.select("doc", "tkey", *[F.col(c).alias(f"_found_{c}") for c in ("hits", "n_hit", "items")])
     out = rows.alias("d").join(broadcast_if_small(found, each).alias("g"), same_row(), "left")
-    return out.select("d.*", "g.hits", "g.n_hit", "g.items").withColumns({
+    hit_type, no_items = found.schema["_found_hits"].dataType, F.array().cast("array<string>")
+    return out.select("d.*", "g._found_hits", "g._found_n_hit", "g._found_items").withColumns({
         "n_words": F.size(words(F.col(text_col))).cast("long"),
-        "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
-        "hits": F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)),
-        "items": F.coalesce("items", F.array().cast("array<string>")),
-        "n_items": F.size(F.coalesce("items", F.array().cast("array<string>"))).cast("long")}).drop("_tkey")
+        "n_hit": F.coalesce("_found_n_hit", F.lit(0).cast("long")),
+        "hits": F.coalesce("_found_hits", F.array().cast(hit_type)),
+        "items": F.coalesce("_found_items", no_items),
+        "n_items": F.size(F.coalesce("_found_items", no_items)).cast("long"),
+    }).drop("_tkey", "_found_hits", "_found_n_hit", "_found_items")
 
 
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 10, id_col: str = "doc_id",

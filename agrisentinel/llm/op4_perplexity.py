@@ -158,7 +158,7 @@ class SortedModel:
         logp = table.column("logp").to_pandas().to_numpy(np.float64)
         backoff = table.column("backoff").to_pandas().to_numpy(np.float64)
         self.parts = {}
-        for name in sorted(set(lang)):
+        for name in sorted(set(lang)):  # none for an empty corpus
             for order in range(0, int(n.max()) + 1):
                 pick = np.flatnonzero((lang == name) & (n == order))
                 pick = pick[np.argsort(key[pick], kind="stable")]
