@@ -267,11 +267,14 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", lang_col:
                                                         *[(c, pa.int64()) for c in COUNTS], ("nll", pa.float64())])))
     groups = materialise(rows.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(
         F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("parts")), "op4-groups")
-    dealt = rows.join(F.broadcast(groups), F.coalesce("lang", F.lit("")) == F.col("l")).withColumn(
-        "part", F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int"))
-    spread = model.join(F.broadcast(groups), model["lang"] == groups["l"]).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return (dealt.groupBy("l", "part").cogroup(spread.groupBy("l", "part"))
+    parts = F.broadcast(groups)  # a row per language
+    dealt = rows.join(parts, F.coalesce("lang", F.lit("")) == F.col("l")).select(
+        "doc_id", "lang", "text", F.col("l").alias("group"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int").alias("part"))
+    spread = model.join(parts, model["lang"] == groups["l"]).select(
+        "lang", "n", "key", "logp", "backoff", F.col("l").alias("group2"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
+    return (dealt.groupBy("group", "part").cogroup(spread.groupBy("group2", "part2"))
                  .applyInArrow(lambda a, b: together(a, b.select(["lang", "n", "key", "logp", "backoff"])), SCORED))
 
 

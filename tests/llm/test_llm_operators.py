@@ -228,7 +228,7 @@ def test_large_model_scores_alike(spark, monkeypatch):
 
 
 def test_line_templates(spark, edge, nothing):
-    prose = [f"own words of number{i} stand here and go on for quite a while in text {i}" for i in range(12)]
+    prose = [" ".join(f"{chr(97 + i)}{chr(97 + j)}word" for j in range(16)) for i in range(12)]
     docs = plain(spark, [f"{p}\nPage {i} of 90 in this volume" for i, p in enumerate(prose)] + ["Page 1 of 90 in this volume", None])
     got = {r["doc_id"]: r for r in op5_line_templates.drop_recurring_lines(docs).collect()}
     assert all(got[i]["kept_text"] == prose[i] and got[i]["n_dropped"] == 1 for i in range(12))
