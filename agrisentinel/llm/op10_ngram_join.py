@@ -19,7 +19,7 @@ and two linked sets share at least one signature: no link is lost.
 Equal sets are collapsed to one class first.  Members of a signature are tried
 against one hub, its most central member (a star, not all pairs).  Members that
 the hub leaves unconnected are tried against those members that share one of
-their differences from the hub (``_by_difference``), which any link needs.
+their rarest differences from the hub (``_by_difference``), which any link needs.
 Every candidate pair is checked exactly on the two shingle sets, so the
 components equal those of the full similarity graph.
 
@@ -181,11 +181,8 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """Pairs (src, dst) with the exact verdict and how dst's set differs from src's.
-
-    ``added`` and ``removed`` keep, in hash order, as many differing features as
-    any partner of dst must share one of (see ``_by_difference``).
-    """
+    """Pairs (src, dst) with the exact verdict, dst's set size ``n`` and ``diff``:
+    the features that one of the two sets alone has, ``n_diff`` of them."""
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     ids = broadcast_if_small(materialise(ids, "op10-ids"), 40)
     sets = docs.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, features array<long>")
@@ -193,28 +190,25 @@ def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: in
     both = (pairs.join(sets.select(F.col("id").alias("dst"), F.col("features").alias("y")), "dst")
                  .join(sets.select(F.col("id").alias("src"), F.col("features").alias("x")), "src"))
     diff = both.select("src", "dst", F.size("y").alias("n"), F.size("x").alias("n_src"),
-                       F.array_except("y", "x").alias("added"), F.array_except("x", "y").alias("removed"))
-    n_added, n_removed = F.size("added"), F.size("removed")
-    shared = F.col("n") - n_added
-    room = F.floor(F.col("n") * (den - num) / F.lit(num)).cast("int")
-    out = diff.select(
-        "src", "dst", "n", n_added.alias("n_added"), n_removed.alias("n_removed"),
-        (den * shared >= num * (F.col("n_src") + n_added)).alias("linked"),
-        F.slice("added", 1, room + 1).alias("added"),
-        F.slice("removed", 1, F.greatest(room - n_added + 1, F.lit(0))).alias("removed"))
-    return materialise(out, "op10-compared")
+                       F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff"))
+    n_diff = F.size("diff")
+    return diff.select("src", "dst", "n", n_diff.alias("n_diff"), "diff",
+                       ((den + num) * n_diff <= (den - num) * (F.col("n") + F.col("n_src"))).alias("linked"))
 
 
 def _by_difference(compared: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs still to try among the members v, w tried against one hub h.
 
-    With A, R what a member adds to and lacks of h, the sets of v and w differ in
-    ``|A_v ^ A_w| + |R_v ^ R_w|`` features.  If v does not link to h, a link of v
-    and w needs a common feature in A or, with A disjoint, in R (otherwise w's
-    larger size would have to make up for all of its own difference).  At most
-    ``K`` features differ, so the smallest common one is among the first K + 1 of
-    A, or the first K - |A| + 1 of R, of either side.  Members already in one
-    component are not tried.
+    Let X be a member's difference from h and D its size.  The sets of v and w
+    differ in ``|X_v ^ X_w| = D_v + D_w - 2 |X_v & X_w|`` features, at most
+    ``K = (den-num)/(den+num) (|v|+|w|)`` of them if linked, so a link needs
+    ``o = ceil((D_v + D_w - K) / 2)`` common differences.  Where v does not link to
+    h, ``D_v + D_w - K > D_w (1 - (den-num)/(den+num)) >= 0``, so that o >= 1.  In
+    one order of all features, the first common one then has o - 1 others behind
+    it on either side: it is among the first ``D - o + 1`` of both.  The order is
+    by frequency under the hub, rarest first, so what most members share (such as
+    a change of the hub's own) is hardly ever asked for.  Members already in one
+    component are not tried; of two in different ones, one is not the hub's.
     """
     family = (compared.join(comp.select(F.col("id").alias("dst"), F.col("component").alias("of")), "dst")
                       .join(comp.select(F.col("id").alias("src"), F.col("component").alias("hub_of")), "src"))
@@ -222,24 +216,26 @@ def _by_difference(compared: DataFrame, comp: DataFrame, num: int, den: int) ->
                                            F.max(F.col("of") != F.col("hub_of")).alias("open"))
                        .where("members > 1 and open").select("src"))
     family = family.join(open_hubs, "src", "left_semi")
-    base = ["src", "dst", "n", "n_added", "n_removed", "of", "hub_of"]
-    feature = materialise(
-        family.select(*base, F.lit(0).alias("kind"), F.explode("added").alias("feature"))
-              .union(family.select(*base, F.lit(1).alias("kind"), F.explode("removed").alias("feature"))),
-        "op10-features")
-    # features that one member alone has lead to no pair
-    common = (feature.groupBy("src", "kind", "feature")
-                     .agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
-                     .select("src", "kind", "feature"))
-    feature = materialise(feature.join(common, ["src", "kind", "feature"], "left_semi"), "op10-common")
-    v, w = feature.where("of != hub_of").alias("v"), feature.alias("w")
-    same = [F.col(f"v.{c}") == F.col(f"w.{c}") for c in ("src", "kind", "feature")]
-    size = F.col("v.n") + F.col("w.n")
-    apart = F.when(F.col("v.kind") == 1, F.col("v.n_added") + F.col("w.n_added")
-                   + F.abs(F.col("v.n_removed") - F.col("w.n_removed"))).otherwise(
-        F.greatest(F.abs(F.col("v.n") - F.col("w.n")), F.abs(F.col("v.n_removed") - F.col("w.n_removed"))))
-    return (v.join(w, same[0] & same[1] & same[2] & (F.col("v.of") != F.col("w.of"))
-                   & ((den + num) * apart <= (den - num) * size))
+    feature = materialise(family.select("src", "dst", "n", "n_diff", "of", (F.col("of") == F.col("hub_of")).alias("home"),
+                                        F.explode("diff").alias("feature")), "op10-features")
+    often = (feature.groupBy("src", "feature").agg(F.count(F.lit(1)).alias("times"), F.min("of").alias("lo"),
+                                                   F.max("of").alias("hi")).where("times > 1"))
+    rarest = Window.partitionBy("src", "dst").orderBy("times", "feature")
+    # every feature that one member alone has comes first and leads to no pair
+    common = (feature.join(often, ["src", "feature"])
+                     .withColumn("place", F.col("n_diff") - F.count(F.lit(1)).over(Window.partitionBy("src", "dst"))
+                                 + F.row_number().over(rarest))
+                     .where((F.col("lo") < F.col("hi"))
+                            & (~F.col("home") | ((den + num) * (F.col("n_diff") - F.col("place") + 1) >= num * F.col("n_diff")))))
+    common = materialise(common.select("src", "feature", "dst", "n", "n_diff", "of", "home", "place"), "op10-common")
+    v, w = common.where("not home").alias("v"), common.alias("w")
+    # twice the common differences that a link needs
+    need = F.col("v.n_diff") + F.col("w.n_diff") - F.floor((den - num) * (F.col("v.n") + F.col("w.n")) / F.lit(den + num))
+    return (v.join(w, (F.col("v.src") == F.col("w.src")) & (F.col("v.feature") == F.col("w.feature"))
+                   & (F.col("v.of") != F.col("w.of"))
+                   & (F.col("w.home") | (F.col("v.dst") < F.col("w.dst")))
+                   & (2 * (F.col("v.n_diff") - F.col("v.place") + 1) >= need)
+                   & (2 * (F.col("w.n_diff") - F.col("w.place") + 1) >= need))
              .select(F.least("v.dst", "w.dst").alias("src"), F.greatest("v.dst", "w.dst").alias("dst"))
              .distinct())
 
@@ -280,14 +276,14 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = ranked.groupBy("sig").agg((-F.max("rank")["neg"]).alias("hub"))
     tried = materialise(shared.join(hubs, "sig").where("id != hub")
                               .select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct(), "op10-star")
-    star = _compared(tried, rows, shingle, num, den)
+    star = materialise(_compared(tried, rows, shingle, num, den), "op10-compared")
     nodes = shared.select("id").distinct()
     links = star.where("linked").select("src", "dst")
     comp = materialise(connected_components(nodes, links), "op10-comp")
     both_ways = tried.union(tried.select("dst", "src"))
     rest = materialise(_by_difference(star, comp, num, den).join(both_ways, ["src", "dst"], "left_anti"), "op10-rest")
     if rest.limit(1).count():
-        more = _compared(rest, rows, shingle, num, den).where("linked").select("src", "dst")
+        more = materialise(_compared(rest, rows, shingle, num, den).where("linked").select("src", "dst"), "op10-more")
         if more.limit(1).count():
             comp = materialise(connected_components(nodes, links.union(more)), "op10-comp")
     placed_class = (classes.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
