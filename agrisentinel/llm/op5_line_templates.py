@@ -5,9 +5,10 @@ digit counts as a field ``<*>``).  Inside a leaf a token that stands at its plac
 in fewer than ``min_docs`` documents' lines is a variable field; the line with
 its fields generalised is its template.  A template that recurs in ``min_docs``
 documents or more, and has at least half of its tokens fixed, is dropped: its
-lines are taken out of every document.  A document whose dropped lines hold more
-than half of its words is a copy of other documents rather than one with page
-furniture; it is left whole, for document-level dedup.
+lines are taken out of every document.  Copies are told apart by their text's
+hash: rows of one text count as one document, so copies alone make no line recur.
+A document without a word outside recurring lines has nothing of its own; it is
+left whole, for document-level dedup.
 
 Only DataFrame expressions are used.  Leaves are counted first (one hash per
 distinct leaf of a document, combined map-side), so only lines of frequent leaves
@@ -40,10 +41,19 @@ def leaf(toks: Column, depth: int) -> Column:
     return F.concat_ws(" ", F.size(toks).cast("string"), lead)
 
 
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``doc, text``: every text once, with its hash; only texts that occur twice are shuffled."""
+    rows = docs.select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
+    copied = materialise(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc"), "op5-copied")
+    copied = broadcast_if_small(copied, 32)
+    once = materialise(rows.join(copied, "doc", "left_semi").distinct(), "op5-copies")
+    return rows.join(copied, "doc", "left_anti").unionByName(once)
+
+
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10,
                     min_tokens: int = 4) -> DataFrame:
     """``line, template``: the distinct lines of recurring templates."""
-    lines = docs.select(F.explode(F.array_distinct(F.split(F.col(text_col), "\n"))).alias("line"))
+    lines = distinct_texts(docs, text_col).select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     parsed = (lines.select("line", tokens(F.col("line")).alias("toks")).where(F.size("toks") >= min_tokens)
                    .withColumn("leaf", leaf(F.col("toks"), depth)))
     frequent = (parsed.select(F.xxhash64("leaf").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
@@ -82,10 +92,9 @@ def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3
     rows = docs.withColumn("_key", key).join(broadcast_if_small(per_doc, 512), "_key", "left")
     rows = rows.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<string>")))
     rows = rows.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    count = F.expr(f"aggregate(_hit, 0L, (n, l) -> n + size(filter(split(l, '{SPACE}'), t -> t <> '')))".replace("\\", "\\\\"))
     rows = rows.withColumn("_hit", F.expr("filter(_lines, l -> array_contains(_gone, l))"))
-    total = F.size(tokens(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = rows.withColumn("_cut", (F.size("_hit") > 0) & (2 * count <= total))
+    own = F.expr("exists(_lines, l -> not array_contains(_gone, l) and l rlike '[^ \\\\x09-\\\\x0D]')")
+    rows = rows.withColumn("_cut", (F.size("_hit") > 0) & own)
     kept = F.array_join(F.expr("filter(_lines, l -> not array_contains(_gone, l))"), "\n")
     return rows.withColumns({
         "kept_text": F.when(F.col("_cut"), kept).otherwise(F.col(text_col)),

@@ -239,6 +239,15 @@ def test_line_templates(spark, edge, nothing):
     assert op5_line_templates.drop_recurring_lines(nothing).count() == 0
 
 
+def test_lines_of_mostly_boilerplate_documents(spark):
+    furniture = "all rights to these pages stay with the house\nwrite to our office for any further question"
+    texts = [f"{furniture}\nown{i} text{i} of{i} this{i} document{i} alone{i}" for i in range(12)]
+    copy = "Heading\n" + "\n".join(f"article line {c * 3} says one thing only {c}" for c in "abcdefg")
+    got = {r["doc_id"]: r for r in op5_line_templates.drop_recurring_lines(plain(spark, texts + [copy] * 12)).collect()}
+    assert all(got[i]["n_dropped"] == 2 and got[i]["kept_text"] == texts[i].split("\n")[2] for i in range(12))
+    assert all(got[i]["n_dropped"] == 0 and got[i]["kept_text"] == copy for i in range(12, 24))
+
+
 def test_classifier(spark, edge, nothing):
     rows = QUERIES["op6_quality_classifier"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
