@@ -10,9 +10,12 @@ hash: rows of one text count as one document, so copies alone make no line recur
 A document without a word outside recurring lines has nothing of its own; it is
 left whole, for document-level dedup.
 
+Documents are counted, not lines: several lines of a document with one template
+(or one token at its place) count once.
+
 Only DataFrame expressions are used.  Leaves are counted first (one hash per
-distinct leaf of a document, combined map-side), so only lines of frequent leaves
-are ever spread out into tokens, each distinct line once with its count.
+distinct line of a document), so only lines of frequent leaves are ever spread out
+into tokens, each distinct line once with its count.
 
 Lines are split at \\n; lines of fewer than ``min_tokens`` tokens always stay.
 A line that repeats within a document counts once.  Null texts stay null, empty
@@ -53,18 +56,26 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10,
                     min_tokens: int = 4) -> DataFrame:
     """``line, template``: the distinct lines of recurring templates."""
-    lines = distinct_texts(docs, text_col).select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    parsed = (lines.select("line", tokens(F.col("line")).alias("toks")).where(F.size("toks") >= min_tokens)
+    lines = distinct_texts(docs, text_col).select("doc", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+    parsed = (lines.select("doc", "line", tokens(F.col("line")).alias("toks")).where(F.size("toks") >= min_tokens)
                    .withColumn("leaf", leaf(F.col("toks"), depth)))
-    frequent = (parsed.select(F.xxhash64("leaf").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    hashes = materialise(parsed.select("doc", F.xxhash64("leaf").alias("key"), F.xxhash64("line").alias("lid")), "op5-hashes")
+    # as many lines, so as many documents at most
+    frequent = (hashes.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
                       .where(F.col("c") >= min_docs).select("key"))
-    frequent = materialise(frequent, "op5-leaves")
-    here = (parsed.withColumn("key", F.xxhash64("leaf")).join(broadcast_if_small(frequent, 32), "key", "left_semi")
+    frequent = broadcast_if_small(materialise(frequent, "op5-leaves"), 32)
+    here = (parsed.withColumn("key", F.xxhash64("leaf")).join(frequent, "key", "left_semi")
                   .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
     here = materialise(here, "op5-lines")
+    # documents with several lines of one leaf: what they hold in common counts once
+    several = (hashes.join(frequent, "key", "left_semi").groupBy("doc", "key").agg(F.collect_list("lid").alias("lids"))
+                     .where(F.size("lids") > 1).select("doc", F.explode("lids").alias("lid")))
+    several = materialise(several, "op5-several")
     spread = here.select("leaf", "line", "docs", F.posexplode(tokens(F.col("line"))).alias("place", "token"))
-    fixed = (spread.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("c"))
-                   .where(F.col("c") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("fixed")))
+    again = (several.join(here.select(F.xxhash64("line").alias("lid"), "leaf", "line"), "lid")
+                    .select("doc", "leaf", F.posexplode(tokens(F.col("line"))).alias("place", "token")))
+    fixed = (_by_document(spread, again, ["leaf", "place", "token"])
+             .where(F.col("c") >= min_docs).select("leaf", "place", "token", F.lit(1).alias("fixed")))
     marked = spread.join(fixed, ["leaf", "place", "token"], "left")
     field = F.when(F.col("fixed").isNull(), F.lit(FIELD)).otherwise(F.col("token"))
     template = (marked.groupBy("leaf", "line", "docs")
@@ -72,11 +83,19 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min
                            F.count("fixed").alias("n_fixed"))
                       .select("leaf", "line", "docs", F.col("n_fixed"), F.size("parts").alias("n"),
                               F.array_join(F.col("parts.t"), " ").alias("template")))
-    template = materialise(template, "op5-templates")
-    recurring = (template.groupBy("leaf", "template").agg(F.sum("docs").alias("c"))
-                         .where(F.col("c") >= min_docs).select("leaf", "template"))
-    return (template.where(2 * F.col("n_fixed") >= F.col("n"))
-                    .join(recurring, ["leaf", "template"], "left_semi").select("line", "template"))
+    template = materialise(template.where(2 * F.col("n_fixed") >= F.col("n")), "op5-templates")
+    again = several.join(template.select(F.xxhash64("line").alias("lid"), "leaf", "template"), "lid")
+    recurring = (_by_document(template, again, ["leaf", "template"])
+                 .where(F.col("c") >= min_docs).select("leaf", "template"))
+    return template.join(recurring, ["leaf", "template"], "left_semi").select("line", "template")
+
+
+def _by_document(lines: DataFrame, several: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct documents ``c`` of each ``by``: those of each line added up, less
+    the further lines with the same ``by`` in one document (``several``: doc, by)."""
+    further = (several.groupBy("doc", *by).agg((1 - F.count(F.lit(1))).alias("n")).where("n < 0"))
+    return (lines.select(*by, F.col("docs").alias("n")).unionByName(further.select(*by, "n"))
+                 .groupBy(*by).agg(F.sum("n").alias("c")))
 
 
 def drop_recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min_docs: int = 10,

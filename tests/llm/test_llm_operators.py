@@ -248,6 +248,18 @@ def test_lines_of_mostly_boilerplate_documents(spark):
     assert all(got[i]["n_dropped"] == 0 and got[i]["kept_text"] == copy for i in range(12, 24))
 
 
+def test_lines_alike_within_one_document(spark):
+    prose = [" ".join(f"{chr(97 + i)}{chr(97 + j)}word" for j in range(26)) for i in range(12)]
+    table = "\n".join(f"Row {i} of the table" for i in range(1, 11))
+    far = "\n".join(f"Item {i} of {w} list" for i, w in ((1, "this"), (2, "that")))
+    texts = [f"{prose[10]}\n{table}"] + [f"{prose[i]}\n{far}" for i in range(6)]  # 12 lines of a shape, 6 documents
+    got = op5_line_templates.drop_recurring_lines(plain(spark, texts)).collect()
+    assert all(r["n_dropped"] == 0 and r["kept_text"] == texts[r["doc_id"]] for r in got)
+    texts += [f"{prose[i]}\n{far}" for i in range(6, 10)]
+    got = op5_line_templates.drop_recurring_lines(plain(spark, texts)).collect()
+    assert all(r["n_dropped"] == (0 if r["doc_id"] == 0 else 2) for r in got)
+
+
 def test_classifier(spark, edge, nothing):
     rows = QUERIES["op6_quality_classifier"](spark, "/root/testdata/sf0.01")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
