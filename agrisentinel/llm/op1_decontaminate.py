@@ -17,7 +17,9 @@ Everything is DataFrame expressions.  Hot terms only lengthen a posting list,
 which is a join key together with document and position, so no task holds a
 whole list.  A window with a term that the corpus lacks occurs nowhere and is
 dropped.  Null or empty texts have no words; repeated rows are judged row by
-row; rows may repeat or lack an id.  Extra columns are ignored.
+row; rows may repeat or lack an id.  Test items are told apart by id and text
+(``ikey``, a hash of the words), so an id may stand for several texts, or be null.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,9 +46,10 @@ def words(text: Column) -> Column:
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``item, words`` of the test items that have words."""
+    """``item, ikey, words`` of the test items that have words."""
     return (items.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("words"))
-                 .where(F.size("words") > 0))
+                 .where(F.size("words") > 0)
+                 .select("item", F.xxhash64("item", "words").alias("ikey"), "words").dropDuplicates(["ikey"]))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
@@ -65,12 +68,12 @@ def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id",
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
-    """One row per word of each window: item, w (first word), at (word's place), term."""
+    """One row per word of each window: ikey, w (first word), at (word's place), term."""
     size = F.size("words")
     starts = F.sequence(F.lit(0), F.greatest(size - window, F.lit(0)))
-    return (items.select("item", "words", F.explode(starts).alias("w"))
-                 .select("item", "w", F.posexplode(F.slice("words", F.col("w") + 1, window)).alias("o", "term"))
-                 .select("item", "w", (F.col("w") + F.col("o")).alias("at"), "term"))
+    return (items.select("ikey", "words", F.explode(starts).alias("w"))
+                 .select("ikey", "w", F.posexplode(F.slice("words", F.col("w") + 1, window)).alias("o", "term"))
+                 .select("ikey", "w", (F.col("w") + F.col("o")).alias("at"), "term"))
 
 
 def _same_doc(a: str, b: str) -> Column:
@@ -78,28 +81,28 @@ def _same_doc(a: str, b: str) -> Column:
 
 
 def candidate_places(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc, tkey, item, shift``: where the two rarest terms of a window fit."""
+    """``doc, tkey, ikey, shift``: where the two rarest terms of a window fit."""
     spread = _windows(items, window)
     terms = materialise(spread.select("term").distinct(), "op1-terms")
     counts = materialise(term_counts(docs, terms, text_col), "op1-counts")
-    per_window = Window.partitionBy("item", "w")
+    per_window = Window.partitionBy("ikey", "w")
     ranked = (spread.join(counts, "term", "left")
                     .withColumn("known", F.min(F.col("cf").isNotNull()).over(per_window)).where("known")
                     .withColumn("rank", F.row_number().over(per_window.orderBy("cf", "at"))).where("rank <= 2"))
-    first = ranked.where("rank = 1").select("item", "w", "at", "term")
-    second = ranked.where("rank = 2").select("item", "w", F.col("at").alias("at2"), F.col("term").alias("term2"))
-    pairs = materialise(first.join(second, ["item", "w"], "left")
-                             .select("item", "at", "term", "at2", "term2").distinct(), "op1-pairs")
+    first = ranked.where("rank = 1").select("ikey", "w", "at", "term")
+    second = ranked.where("rank = 2").select("ikey", "w", F.col("at").alias("at2"), F.col("term").alias("term2"))
+    pairs = materialise(first.join(second, ["ikey", "w"], "left")
+                             .select("ikey", "at", "term", "at2", "term2").distinct(), "op1-pairs")
     index = positional_index(docs, pairs.select("term").union(
         pairs.where("term2 is not null").select(F.col("term2").alias("term"))).distinct(), id_col, text_col)
     seeds = (index.join(broadcast_if_small(pairs, 96), "term")
-                  .select("doc", "tkey", "item", (F.col("pos") - F.col("at")).alias("shift"), "at2", "term2"))
-    alone = seeds.where("term2 is null").select("doc", "tkey", "item", "shift")
+                  .select("doc", "tkey", "ikey", (F.col("pos") - F.col("at")).alias("shift"), "at2", "term2"))
+    alone = seeds.where("term2 is null").select("doc", "tkey", "ikey", "shift")
     # offset-adjusted lists: the second term must stand at shift + at2
     two = (seeds.where("term2 is not null").distinct().alias("s")
                 .join(index.alias("p"), _same_doc("s", "p") & (F.col("s.term2") == F.col("p.term"))
                       & (F.col("s.shift") + F.col("s.at2") == F.col("p.pos")), "left_semi")
-                .select("doc", "tkey", "item", "shift"))
+                .select("doc", "tkey", "ikey", "shift"))
     return two.union(alone).distinct()
 
 
@@ -124,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """
     items = materialise(item_words(benchmark, item_col, item_text), "op1-items")
     places = candidate_places(docs, items, window, id_col, text_col)
-    grouped = materialise(places.join(items, "item").groupBy("doc", "tkey").agg(
+    grouped = materialise(places.join(items, "ikey").groupBy("doc", "tkey").agg(
         F.collect_list(F.struct("item", "shift", "words")).alias("places")), "op1-places")
     rows = docs.withColumn("_tkey", F.xxhash64(text_col))
 

@@ -157,6 +157,14 @@ def test_contamination_edges(spark, edge, nothing):
     assert op1_decontaminate.contamination(edge, items.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_contamination_ids_of_several_texts(spark):
+    docs = plain(spark, ["here red green blue stand", "one two three", "alpha beta gamma", "green red", "nothing of it"])
+    items = spark.createDataFrame([(1, "red green blue"), (1, "one two three"), (1, "one two nowhere"),
+                                   (None, "alpha beta gamma"), (None, "never seen")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in op1_decontaminate.contamination(docs, items).collect()}
+    assert got == {0: (3, 1, ["1"]), 1: (3, 1, ["1"]), 2: (3, 1, [None]), 3: (0, 0, []), 4: (0, 0, [])}
+
+
 def test_proximity(spark):
     docs = plain(spark, ["alpha x x beta", "beta alpha", "alpha " + "x " * 20 + "beta", "beta only"])
     ask = spark.createDataFrame([(1, "alpha beta"), (2, "only"), (3, "alpha nowhere")], "item_id long, text string")
