@@ -132,8 +132,8 @@ def _scan(k: int, num: int, den: int):
             buf, off = H.text_bytes(batch.column(1))
             for i, j in H.chunks(off):
                 sets, sizes = _chunk_sets(buf[off[i]: off[j]], off[i: j + 1] - off[i], k)
-                if len(sizes) and sizes.max() >= edges[-1]:
-                    edges = size_bands(num, den, int(sizes.max()))
+                if len(sizes) and sizes.max() >= edges[-2]:  # the largest set signs for the band after its own, too
+                    edges = size_bands(num, den, int(size_bands(num, den, int(sizes.max()))[-1]))
                 diff = max_difference(num, den, edges)
                 begin = np.cumsum(sizes) - sizes
                 full = np.flatnonzero(sizes)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,15 @@ def test_jaccard_edges(spark, edge, nothing):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 3, 5, 7, 8, 9, None]
 
 
+def test_very_long_sets_sign_upwards():
+    def scanned(n):  # a task of its own
+        batch = pa.RecordBatch.from_arrays([pa.array([n]), pa.array([" ".join(map(str, range(n)))])], names=["id", "text"])
+        return next(op10_ngram_join._scan(1, 85, 100)(iter([batch])))
+    small, large = scanned(1_200_000), scanned(1_350_000)
+    assert large["n_shingles"][0].as_py() == 1_350_000
+    assert set(small["sigs_up"][0].as_py()) & set(large["sigs"][0].as_py())
+
+
 def brute_repeats(texts, length):
     seen = Counter()
     raw = [(t or "").encode() for t in texts]
