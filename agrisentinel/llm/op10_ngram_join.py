@@ -38,8 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.cluster import connected_components
 from . import hashing as H
+from .components import connected_components
 from .tables import broadcast_if_small, materialise, release
 
 U = np.uint64

@@ -102,6 +102,20 @@ def test_very_long_sets_sign_upwards():
     assert set(small["sigs_up"][0].as_py()) & set(large["sigs"][0].as_py())
 
 
+def test_long_chain_of_links(spark):
+    rng = random.Random(8)
+    names = rng.sample(range(1000), 400)
+    chain, rest = names[:200], names[200:]  # 200 in a row, the others at random
+    pairs = list(zip(chain, chain[1:])) + [tuple(rng.sample(rest, 2)) for _ in range(120)]
+    comp = {n: n for n in names}
+    for _ in names:
+        for a, b in pairs:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    nodes = spark.createDataFrame([(n,) for n in names], "id long")
+    got = op10_ngram_join.connected_components(nodes, spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {r["id"]: r["component"] for r in got} == comp and len(got) == len(names)
+
+
 def brute_repeats(texts, length):
     seen = Counter()
     raw = [(t or "").encode() for t in texts]
