@@ -7,6 +7,9 @@ licence texts.  Candidates are a document's entire text, each of its paragraphs
 (between blank lines) and each of its lines, so a licence is found wherever it
 stands as an entire block.
 
+Known are the notices of ``KNOWN`` and the full texts of ``licenses/`` (one file a
+licence, named by its SPDX id), these with and without title and appendix.
+
 Only DataFrame expressions are used.  The table of known digests is of fixed
 size and broadcast; documents are not shuffled.  Null or empty texts and blocks
 without letters or digits match nothing; rows with repeated or null ids are
@@ -15,6 +18,9 @@ scanned row by row; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +69,46 @@ KNOWN = [
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
 ]
 
+TEXTS = Path(__file__).with_name("licenses")
+END = "END OF TERMS AND CONDITIONS"
+# Titles that license files put above a text that has none itself.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "BSD-3-Clause": ["BSD License", "The BSD License", "BSD 3-Clause License", "The 3-Clause BSD License",
+                     "BSD 3-Clause", "New BSD License", "Modified BSD License", "Revised BSD License",
+                     'BSD 3-Clause "New" or "Revised" License'],
+    "BSD-2-Clause": ["BSD License", "The BSD License", "BSD 2-Clause License", "The 2-Clause BSD License",
+                     "BSD 2-Clause", "Simplified BSD License", "FreeBSD License", 'BSD 2-Clause "Simplified" License'],
+}
+
+
+def _bsd(text: str) -> list[tuple[str, str]]:
+    """The Regents' text, its form for any holder, and that without the third clause; with and without numbers."""
+    holder = (text.replace("the University", "the copyright holder").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND")
+                  .replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR"))
+    two = re.sub(r"(?ms)^3\. .*?\n\n", "\n", holder)
+    forms = [("BSD-3-Clause", text), ("BSD-3-Clause", holder), ("BSD-2-Clause", two)]
+    return forms + [(name, re.sub(r"(?m)^[123]\. ", "* ", form)) for name, form in forms]
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """``(license, text)`` of the full texts and their variants."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        if path.stem == "BSD-3-Clause":
+            out += _bsd(text)
+            continue
+        # a filled-in copyright line falls away in the canonical form, its blank form would not
+        forms = [text, re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text)]
+        if END in text:
+            forms += [text[: text.index(END)], text[: text.index(END) + len(END)]]
+        out += [(path.stem, form) for form in dict.fromkeys(forms)]
+    bare = [("MIT", MIT), ("ISC", ISC), *out]
+    return out + [(name, f"{title}\n\n{text}") for name, text in bare for title in TITLES.get(name, ())]
+
+
 # Equivalent spellings, as words of the canonical form.
 SPELLINGS = [
     ("licence", "license"), ("licenced", "licensed"), ("licences", "licenses"), ("sub license", "sublicense"),
@@ -94,7 +140,7 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, whole_license, n_blocks, licenses`` per row: licence of the entire
     text, how many of its blocks are licences, and which (sorted)."""
-    known = materialise(known if known is not None else known_digests(docs.sparkSession), "op8-known")
+    known = materialise(known if known is not None else known_digests(docs.sparkSession, KNOWN + full_texts()), "op8-known")
     known = broadcast_if_small(known, 128)
     text = F.col(text_col)
     blocks = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.split(text, "\n")))

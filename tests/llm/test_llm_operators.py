@@ -328,6 +328,23 @@ def test_licences(spark, edge, nothing):
     assert op8_license_digests.scan(nothing).count() == 0
 
 
+def test_licence_files(spark):
+    text = {p.stem: p.read_text(encoding="utf-8") for p in op8_license_digests.TEXTS.glob("*.txt")}
+    names = sorted(text)
+    assert {"Apache-2.0", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"} <= set(names)
+    files = [(n, text[n]) for n in names] + [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\n\n" + op8_license_digests.MIT + "\n"),
+        ("ISC", "ISC License\n\nCopyright (c) 2021, Some One\n\n" + op8_license_digests.ISC),
+        ("Apache-2.0", text["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2021 Some One")),
+        ("Apache-2.0", text["Apache-2.0"].split("APPENDIX")[0]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, Some One\nAll rights reserved.\n\n" + "Redistribution"
+         + text["BSD-3-Clause"].split("Redistribution", 1)[1].replace("the University", "the copyright holder")
+         .replace("REGENTS AND", "COPYRIGHT HOLDERS AND").replace("REGENTS OR", "COPYRIGHT HOLDER OR")),
+        (None, "MIT License\n\nAll of the above may be had on request.")]
+    got = {r["doc_id"]: r["whole_license"] for r in op8_license_digests.scan(plain(spark, [t for _, t in files])).collect()}
+    assert [got[i] for i in range(len(files))] == [n for n, _ in files]
+
+
 def test_separator_scan(spark, tmp_path):
     path = str(tmp_path / "docs")
     texts = ["", None, "one", LONG, "é ñ ü " * 50, " \n"] * 3
