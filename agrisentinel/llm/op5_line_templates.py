@@ -17,7 +17,8 @@ Only DataFrame expressions are used.  Leaves are counted first (one hash per
 distinct line of a document), so only lines of frequent leaves are ever spread out
 into tokens, each distinct line once with its count.
 
-Lines are split at \\n; lines of fewer than ``min_tokens`` tokens always stay.
+Lines are split at \\n; a line of fewer than ``min_tokens`` tokens is a template of
+its own, without fields, and one without letters always stays.
 A line that repeats within a document counts once.  Null texts stay null, empty
 ones empty; rows with repeated or null ids are judged row by row; extra columns
 are kept.
@@ -57,16 +58,21 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min
                     min_tokens: int = 4) -> DataFrame:
     """``line, template``: the distinct lines of recurring templates."""
     lines = distinct_texts(docs, text_col).select("doc", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    parsed = (lines.select("doc", "line", tokens(F.col("line")).alias("toks")).where(F.size("toks") >= min_tokens)
-                   .withColumn("leaf", leaf(F.col("toks"), depth)))
+    short = F.size("toks") < min_tokens
+    parsed = (lines.select("doc", "line", tokens(F.col("line")).alias("toks"))
+                   .where(~short | F.col("line").rlike(r"\p{L}"))
+                   .select("doc", "line", short.alias("short"),
+                           F.when(short, F.concat(F.lit("= "), "line")).otherwise(leaf(F.col("toks"), depth)).alias("leaf")))
     hashes = materialise(parsed.select("doc", F.xxhash64("leaf").alias("key"), F.xxhash64("line").alias("lid")), "op5-hashes")
     # as many lines, so as many documents at most
     frequent = (hashes.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
                       .where(F.col("c") >= min_docs).select("key"))
     frequent = broadcast_if_small(materialise(frequent, "op5-leaves"), 32)
     here = (parsed.withColumn("key", F.xxhash64("leaf")).join(frequent, "key", "left_semi")
-                  .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs")))
+                  .groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.first("short").alias("short")))
     here = materialise(here, "op5-lines")
+    alone = here.where("short").where(F.col("docs") >= min_docs).select("line", F.col("line").alias("template"))
+    here = here.where("not short")
     # documents with several lines of one leaf: what they hold in common counts once
     several = (hashes.join(frequent, "key", "left_semi").groupBy("doc", "key").agg(F.collect_list("lid").alias("lids"))
                      .where(F.size("lids") > 1).select("doc", F.explode("lids").alias("lid")))
@@ -87,7 +93,7 @@ def recurring_lines(docs: DataFrame, text_col: str = "text", depth: int = 3, min
     again = several.join(template.select(F.xxhash64("line").alias("lid"), "leaf", "template"), "lid")
     recurring = (_by_document(template, again, ["leaf", "template"])
                  .where(F.col("c") >= min_docs).select("leaf", "template"))
-    return template.join(recurring, ["leaf", "template"], "left_semi").select("line", "template")
+    return template.join(recurring, ["leaf", "template"], "left_semi").select("line", "template").union(alone)
 
 
 def _by_document(lines: DataFrame, several: DataFrame, by: list[str]) -> DataFrame:

@@ -280,6 +280,13 @@ def test_lines_of_mostly_boilerplate_documents(spark):
     assert all(got[i]["n_dropped"] == 0 and got[i]["kept_text"] == copy for i in range(12, 24))
 
 
+def test_short_lines(spark):
+    prose = [" ".join(f"{chr(97 + i)}{chr(97 + j)}word" for j in range(26)) for i in range(12)]
+    texts = [f"{p}\nRead more\n}}" + ("\nSeldom said" if i < 9 else "") for i, p in enumerate(prose)]
+    got = {r["doc_id"]: r for r in op5_line_templates.drop_recurring_lines(plain(spark, texts)).collect()}
+    assert all(got[i]["kept_text"] == t.replace("\nRead more", "") and got[i]["n_dropped"] == 1 for i, t in enumerate(texts))
+
+
 def test_lines_alike_within_one_document(spark):
     prose = [" ".join(f"{chr(97 + i)}{chr(97 + j)}word" for j in range(26)) for i in range(12)]
     table = "\n".join(f"Row {i} of the table" for i in range(1, 11))
