@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (op1_decontaminate, op2_run_length_dedup, op3_mix, op4_perplexity, op5_line_templates, op6_nbsvm,
-               op7_language_evidence, op8_license_digests, op9_separator_scan, op10_ngram_join)
+               op7_language_evidence, op8_license_digests, op9_separator_scan, op10_ngram_join, op11_warc_bundles,
+               op12_hard_negatives, op13_pivotal_grams)
 from .tables import read_documents, read_table
 
 
@@ -194,6 +195,93 @@ LEFT JOIN (SELECT x AS doc_id, min(y) AS lo FROM reach GROUP BY x) m USING (doc_
 """
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_warc_bundles.archive(read_table(spark, sf_dir, "pages"))
+
+
+# base 32 of the 160 digest bits: four letters for each five hexadecimal digits
+OP11_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, upper(sha1(b)) AS h FROM p),
+c AS (SELECT page_id, n, h, max(page_id) OVER (PARTITION BY h) AS top, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(floor(
+          list_sum(list_transform(range(0, 5), lambda j:
+            (strpos('0123456789ABCDEF', substr(h, CAST(5 * (i // 4) + j + 1 AS BIGINT), 1)) - 1) * CAST(pow(16, 4 - j) AS BIGINT)))
+          / pow(32, 3 - i % 4)) AS BIGINT) % 32, 1)), '') AS digest FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM c
+"""
+
+
+def op12_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return op12_hard_negatives.hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+OP12_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other)
+         AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_pivotal_grams.spelling_variants(read_documents(spark, sf_dir), min_length=6, min_count=5, ratio=5, slip_every=199)
+
+
+# crc32 with its byte table made by the rule; near words by deletions: one word is the other without a code point,
+# or both agree without the code point at one place
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda b: list_reduce(range(0, 8), lambda c, k:
+           CASE WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END, CAST(b AS BIGINT))) AS t),
+run AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-z\x{00C0}-\x{00FF}]{6,}')) AS run FROM documents),
+each AS (SELECT run, hex(encode(concat(doc_id, ':', run))) AS x, count(*) AS c FROM run GROUP BY ALL),
+hashed AS (
+  SELECT run, c, xor(CAST(4294967295 AS BIGINT), list_reduce(
+           list_transform(range(0, len(x) // 2), lambda i: CAST(('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2)) AS BIGINT)),
+           lambda h, b: xor(h >> 8, t[CAST(xor(h, b) & 255 AS BIGINT) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM each, crc),
+word AS (
+  SELECT w AS word, CAST(sum(c) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS w,
+               c FROM hashed)
+  WHERE length(w) >= 6 GROUP BY w HAVING sum(c) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+        FROM (SELECT word, unnest(range(0, length(word))) AS i FROM word)),
+near AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word FROM cut c JOIN word w ON c.rest = w.word
+  UNION SELECT w.word, c.word FROM cut c JOIN word w ON c.rest = w.word),
+best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS top, max(w.n) AS top_n
+         FROM near JOIN word w ON w.word = other GROUP BY near.word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form,
+                  CASE WHEN top_n >= 5 * n THEN top_n END AS form_n FROM word LEFT JOIN best USING (word)),
+path(word, here, depth) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT path.word, form, depth + 1 FROM path JOIN formed f ON f.word = here WHERE form IS NOT NULL)
+SELECT word, n, n_near, form, form_n, root FROM formed
+JOIN (SELECT word, last(here ORDER BY depth) AS root FROM path GROUP BY word) USING (word)
+"""
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -205,6 +293,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": op9_token_counts,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_warc_bundles": op11_warc,
+    "op12_hard_negative_mining": op12_hard_negative_mining,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE: dict[str, str] = {
@@ -213,4 +304,7 @@ ORACLE: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op8_license_scan": OP8_SQL,
     "op10_ngram_jaccard_join": OP10_SQL,
+    "op11_warc_bundles": OP11_SQL,
+    "op12_hard_negative_mining": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }

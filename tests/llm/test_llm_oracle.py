@@ -19,4 +19,4 @@ def test_matches_duckdb(spark, duck, name):
 
 
 def test_one_query_for_each_operator():
-    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in Q.QUERIES] == [f"op{i}" for i in range(1, 14)]
