@@ -188,7 +188,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "page", "url", "payload",
                        F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha1("payload")).alias("digest"))
-    rows = materialise(rows, "op11-rows")
+    rows = stored = materialise(rows, "op11-rows", compression="zstd")
     keys = rows.where(F.col("n_bytes") >= min_payload).select("digest", "page", "row")
     shared = (keys.groupBy("digest").agg(F.max(F.struct("page", "row")).alias("of"), F.count(F.lit(1)).alias("c"))
                   .where("c > 1"))
@@ -206,6 +206,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
     index = materialise(rows.mapInArrow(_write(folder, frame_bytes, bundle_bytes, date), INDEX), "op11-index")
     release(shared)
+    release(stored)
     return index
 
 

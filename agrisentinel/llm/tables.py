@@ -19,14 +19,15 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Cuts the lineage like a checkpoint, but columnar and compressed; the files
     live where ``spark.checkpoint.dir`` points, so a lost executor costs nothing.
+    ``options`` go to the Parquet writer.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
