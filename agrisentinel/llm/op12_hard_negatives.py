@@ -344,8 +344,8 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, id_col: str = "vec_id", l
     # a window's ends, in whole numbers; below 0 the upper end lies under the lower one
     p = F.col("positive_score")
     windows = best.where(p >= 0).groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "rank", "positive_id", "positive_score", F.expr(f"(positive_score * {low} + 99) div 100").alias("low"),
-        F.expr(f"(positive_score * {high}) div 100").alias("high")))).alias("w"))
+        "rank", "positive_id", "positive_score", F.expr(f"positive_score div 100 * {low} + (positive_score % 100 * {low} + 99) div 100").alias("low"),
+        F.expr(f"positive_score div 100 * {high} + (positive_score % 100 * {high}) div 100").alias("high")))).alias("w"))
     asked = materialise(index.members.join(windows, "row").withColumns({"low": F.col("w.low"), "high": F.col("w.high")}),
                         "op12-windows")
     found = index.search(asked.drop("w"), False, negatives)
