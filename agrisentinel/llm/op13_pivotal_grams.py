@@ -3,9 +3,10 @@
 Words at most one edit apart (one code point inserted, deleted or replaced) are
 found with the pivotal prefix filter over bigrams:
 
-* All bigrams have one global order, rarest first (ties by the gram).  A word's
-  prefix is its ``PREFIX`` first grams in that order, and further places of the
-  last of them.
+* All bigrams have one global order, rarest first (ties by the gram); equal ones in a
+  word follow by place.  A word's prefix is its ``PREFIX`` first grams in that order;
+  where the last one's gram also stands one place on, that place is indexed too, since
+  an edit may move it there.
 * Its pivots are two disjoint grams of the prefix, chosen by dynamic programming
   for the least total frequency.  One edit touches at most one of two disjoint
   grams, so the other stands in the other word too, moved by at most one place.
@@ -28,6 +29,7 @@ to the smallest word; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -94,21 +96,23 @@ def choose_pivots(grams: list[tuple[int, int]], pick: int = PIVOTS) -> list[int]
 
 
 def prefix_and_pivots(word: str, order: dict[str, tuple[int, int]]) -> tuple[list[int], list[int], int]:
-    """Places of the prefix grams, places of the pivots, rank of the prefix's last gram."""
-    ranks = [order[word[i: i + Q]] for i in range(len(word) - Q + 1)]
-    last = sorted(r for r, _ in ranks)[PREFIX - 1]
-    prefix = [(i, f) for i, (r, f) in enumerate(ranks) if r <= last]
-    return [i for i, _ in prefix], choose_pivots(prefix), last
+    """Places of the indexed grams, places of the pivots, key of the prefix's last gram."""
+    grams = [order[word[i: i + Q]] for i in range(len(word) - Q + 1)]
+    first = heapq.nsmallest(PREFIX, ((rank, i) for i, (rank, _) in enumerate(grams)))
+    rank, end = first[-1]
+    places = sorted(i for _, i in first)
+    moved = [end + 1] if end + 1 < len(grams) and grams[end + 1][0] == rank else []
+    return places + moved, choose_pivots([(i, grams[i][1]) for i in places]), (rank << 32) + end
 
 
 #: (change of length, change of place) of a gram that one edit leaves whole
 SHIFTS = [(0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1)]
-ENTRY = "kind int, gram int, length int, place int, last int, word string"
+ENTRY = "kind int, gram int, length int, place int, last long, word string"
 
 
 def _entries(order: dict[str, tuple[int, int]]):
     """Index entries (kind 0) of a word's prefix and look-ups (kind 1) of its pivots."""
-    types = [pa.int32()] * 5 + [pa.string()]
+    types = [pa.int32()] * 4 + [pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
