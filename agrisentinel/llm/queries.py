@@ -90,33 +90,32 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-t AS (SELECT doc_id, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS toks
-      FROM (SELECT doc_id, unnest(list_distinct(lines)) AS line FROM d)),
-p AS (SELECT line, toks, CAST(len(toks) AS VARCHAR) || ' ' || array_to_string(
+u AS (SELECT row_number() OVER () AS u, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+t AS (SELECT u, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS toks
+      FROM (SELECT u, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM u)),
+alone AS (SELECT line FROM t WHERE len(toks) < 4 AND regexp_matches(line, '\p{L}') GROUP BY line HAVING count(*) >= 10),
+p AS (SELECT u, line, toks, CAST(len(toks) AS VARCHAR) || ' ' || array_to_string(
              list_transform(toks[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf
       FROM t WHERE len(toks) >= 4),
-frequent AS (SELECT leaf FROM p GROUP BY leaf HAVING count(*) >= 10),
-here AS (SELECT leaf, line, toks, count(*) AS docs FROM p SEMI JOIN frequent USING (leaf) GROUP BY ALL),
-spread AS (SELECT leaf, line, docs, unnest(range(0, len(toks))) AS place, unnest(toks) AS token FROM here),
-fixed AS (SELECT leaf, place, token FROM spread GROUP BY ALL HAVING sum(docs) >= 10),
+spread AS (SELECT u, leaf, line, unnest(range(0, len(toks))) AS place, unnest(toks) AS token FROM p),
+fixed AS (SELECT leaf, place, token FROM spread GROUP BY ALL HAVING count(DISTINCT u) >= 10),
 template AS (
-  SELECT s.leaf, s.line, s.docs, count(*) AS n, count(f.token) AS n_fixed,
+  SELECT s.u, s.leaf, s.line, count(*) AS n, count(f.token) AS n_fixed,
          string_agg(CASE WHEN f.token IS NULL THEN '<*>' ELSE s.token END, ' ' ORDER BY s.place) AS template
   FROM spread s LEFT JOIN fixed f ON s.leaf = f.leaf AND s.place = f.place AND s.token = f.token
-  GROUP BY s.leaf, s.line, s.docs),
-recurring AS (SELECT leaf, template FROM template GROUP BY ALL HAVING sum(docs) >= 10),
-gone AS (SELECT DISTINCT line FROM template SEMI JOIN recurring USING (leaf, template) WHERE 2 * n_fixed >= n),
-each AS (SELECT doc_id, i, line, line IN (SELECT line FROM gone) AS hit,
-                len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
-         FROM (SELECT doc_id, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM d)),
-sums AS (SELECT doc_id, count(*) AS n, count(*) FILTER (hit) AS n_hit,
-                2 * coalesce(sum(words) FILTER (hit), 0) <= sum(words) AND bool_or(hit) AS cut,
+  GROUP BY s.u, s.leaf, s.line HAVING 2 * count(f.token) >= count(*)),
+recurring AS (SELECT leaf, template FROM template GROUP BY ALL HAVING count(DISTINCT u) >= 10),
+gone AS (SELECT line FROM template SEMI JOIN recurring USING (leaf, template) UNION SELECT line FROM alone),
+each AS (SELECT doc_id, text, i, line, line IN (SELECT line FROM gone) AS hit
+         FROM (SELECT doc_id, text, unnest(range(0, len(lines))) AS i, unnest(lines) AS line FROM d)),
+sums AS (SELECT doc_id, text, count(*) AS n, count(*) FILTER (hit) AS n_hit,
+                bool_or(hit) AND bool_or(NOT hit AND regexp_matches(line, '[^ \x09-\x0D]')) AS cut,
                 string_agg(line, chr(10) ORDER BY i) FILTER (NOT hit) AS rest
-         FROM each GROUP BY doc_id)
-SELECT d.doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE n END AS BIGINT) AS n_lines,
+         FROM each GROUP BY doc_id, text)
+SELECT doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE n END AS BIGINT) AS n_lines,
        CAST(CASE WHEN cut THEN n_hit ELSE 0 END AS BIGINT) AS n_dropped,
        sha256(CASE WHEN cut THEN coalesce(rest, '') ELSE text END) AS kept_sha256
-FROM d JOIN sums USING (doc_id)
+FROM sums
 """
 
 
@@ -150,7 +149,7 @@ def _canonical_sql(column: str) -> str:
 OP8_SQL = rf"""
 WITH known AS (
   SELECT DISTINCT sha256({_canonical_sql('text')}) AS digest, license
-  FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in op8_license_digests.KNOWN)}) t(license, text)),
+  FROM (VALUES {', '.join(f'({_sql_text(a)}, {_sql_text(b)})' for a, b in [*op8_license_digests.KNOWN, *op8_license_digests.full_texts()])}) t(license, text)),
 part AS (
   SELECT doc_id, text, unnest(list_distinct(list_concat([text], list_concat(
          string_split_regex(text, '\n[\x20\x09-\x0D]*\n'), string_split(text, chr(10)))))) AS block
