@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -172,3 +172,71 @@ def fetch_outcome_parsed(status: Column | str, content_type: Column | str,
         return pd.DataFrame({"content": content, "error": error})
 
     return _udf(_c(status), _c(content_type), _c(html))
+
+
+# --- links by container (A7, L3) ----------------------------------------------------------
+
+# Fixed values (HTML standard): elements without contents, which never stay open.
+VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+def first_links(html: str | None, selector: str) -> list[tuple[int, str]]:
+    """``(container position, href)``: the first link inside each container.
+
+    ``selector`` is ``tag``, ``.class`` or ``tag.class``; a class is one of the
+    element's classes.  Containers count in the order of their start tags, nested ones
+    too (an inner one's first link may also be the outer one's).  An end tag closes
+    the nearest open element of its name with all that is open inside; without one it
+    is ignored; what is never closed ends with the page.  A container without a link
+    gives no row.
+    """
+    from html.parser import HTMLParser
+
+    want_tag, _, want_class = selector.partition(".")
+    stack: list[tuple[str, int | None]] = []    # open elements; a container with its position
+    links: list[str | None] = []
+
+    class _Links(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(reversed(attrs))
+            place = None
+            if (not want_tag or tag == want_tag) and (not want_class or want_class in (attrs.get("class") or "").split()):
+                place = len(links)
+                links.append(None)
+            if tag == "a" and "href" in attrs:
+                for _, at in stack:
+                    if at is not None and links[at] is None:
+                        links[at] = attrs["href"] or ""
+            if tag not in VOID_TAGS:
+                stack.append((tag, place))
+
+        def handle_startendtag(self, tag, attrs):
+            self.handle_starttag(tag, attrs)
+            if tag not in VOID_TAGS:
+                stack.pop()
+
+        def handle_endtag(self, tag):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    del stack[i:]
+                    return
+
+    if html:
+        p = _Links(convert_charrefs=True)
+        p.feed(html)
+        p.close()
+    return [(i, url) for i, url in enumerate(links) if url is not None]
+
+
+@F.udtf(returnType="pos int, url string", useArrow=True)
+class ContainerLinks:
+    """Table function: a page in, the first link of each container out."""
+
+    def eval(self, html: str, selector: str):
+        yield from first_links(html, selector)
+
+
+def container_links(pages: DataFrame, selector: str, html: str = "html", id_col: str = "page_id") -> DataFrame:
+    """``id_col, pos, url`` per container with a link; pages without one give no row."""
+    p = pages.select(F.col(id_col), F.col(html).alias("_html"))
+    return p.lateralJoin(ContainerLinks(F.col("_html").outer(), F.lit(selector))).select(id_col, "pos", "url")

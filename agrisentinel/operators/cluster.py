@@ -9,11 +9,8 @@ cells attach to a touching core cell; the rest and clusters smaller than
 per occupied cell 3^d neighbour keys and equi-joins — no pairwise distances
 between points.
 
-Connected components use min-label propagation; each round is a join +
-groupBy and the labels are checkpointed (reliable storage), so long runs
-neither grow the lineage nor lose state with an executor.  The loop stops
-when no label changes; reaching ``max_rounds`` raises instead of returning a
-partial answer.
+Connected components are found with star steps (``components``), without a cap
+on rounds.
 
 Topic hierarchy: single linkage over topic centroids = the minimum spanning
 tree of the pairwise distances in Kruskal order, built with Borůvka rounds.
@@ -28,33 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .common import dense_order_ids
-
-
-class NoConvergence(RuntimeError):
-    pass
-
-
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "id",
-                         max_rounds: int = 100) -> DataFrame:
-    """``(id, component)`` with component = smallest id reachable.
-
-    ``edges`` has columns ``src, dst`` (treated as undirected)."""
-    e = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"),
-                                                      F.col("src").alias("dst")))
-    e = cut_lineage(e.where(F.col("src") != F.col("dst")).distinct())
-    labels = cut_lineage(nodes.select(F.col(node).alias("v"), F.col(node).alias("label")))
-    for _ in range(max_rounds):
-        nbr = (e.join(labels.withColumnRenamed("v", "src"), "src")
-                .groupBy(F.col("dst").alias("v")).agg(F.min("label").alias("nl")))
-        new = (labels.join(nbr, "v", "left")
-                     .select("v", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                             (F.coalesce("nl", "label") < F.col("label")).alias("_changed")))
-        new = cut_lineage(new)
-        changed = new.where("_changed").limit(1).count()
-        labels = new.drop("_changed")
-        if changed == 0:
-            return labels.select(F.col("v").alias(node), F.col("label").alias("component"))
-    raise NoConvergence(f"labels still changing after {max_rounds} rounds")
+from .components import connected_components
 
 
 def _offsets(d: int) -> Column:
@@ -107,7 +78,7 @@ def grid_density_clusters(points: DataFrame, coords: str = "coords", id_col: str
 
 
 def single_linkage(pairs: DataFrame, a: str = "topic_a", b: str = "topic_b",
-                   dist: str = "distance", max_rounds: int = 64) -> DataFrame:
+                   dist: str = "distance") -> DataFrame:
     """Merge table ``step, left, right, distance`` = MST edges of the
     distance graph in ascending order (ties by endpoints), via Borůvka."""
     e = cut_lineage(pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"),
@@ -115,7 +86,7 @@ def single_linkage(pairs: DataFrame, a: str = "topic_a", b: str = "topic_b",
     nodes = e.select(F.col("u").alias("id")).union(e.select(F.col("v").alias("id"))).distinct()
     comp = cut_lineage(nodes.select("id", F.col("id").alias("comp")))
     mst = None
-    for _ in range(max_rounds):
+    while True:
         ce = (e.join(comp.select(F.col("id").alias("u"), F.col("comp").alias("cu")), "u")
                .join(comp.select(F.col("id").alias("v"), F.col("comp").alias("cv")), "v")
                .where(F.col("cu") != F.col("cv")))
@@ -136,8 +107,6 @@ def single_linkage(pairs: DataFrame, a: str = "topic_a", b: str = "topic_b",
         cc = connected_components(cnodes, cedges)
         comp = cut_lineage(comp.join(cc.select(F.col("id").alias("comp"), "component"), "comp")
                                .select("id", F.col("component").alias("comp")))
-    else:
-        raise NoConvergence("spanning tree not complete")
     if mst is None:
         return pairs.sparkSession.createDataFrame([], "step long, left long, right long, distance double")
     ranked = dense_order_ids(mst, ["d", "u", "v"], "step")

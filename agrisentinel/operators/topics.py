@@ -132,6 +132,59 @@ def doc_to_centroid(assign: DataFrame, cent: DataFrame | None = None, topic: str
                           euclidean(F.col("_x"), F.col("centroid")).alias("euclidean")))
 
 
+ASSIGN_CHUNK = 1 << 15
+
+
+def assign_to_topics(vectors: DataFrame, cent: DataFrame, id_col: str = "doc_id", vec: str = "embedding",
+                     topic: str = "topic") -> DataFrame:
+    """``id_col, topic, similarity, runner_up, margin``: nearest topic of any vector.
+
+    ``cent`` holds ``topic, centroid``.  Every vector meets every centroid, in blocks
+    of vectors and of centroids, and its best two are kept; the similarity is the
+    cosine, the margin its lead over the runner-up (both null with a single topic).
+    Ties go to the smaller topic.  Rows whose vector is null, empty, of another width
+    or not finite have no topic and are left out; repeated rows are assigned each.
+    """
+    from . import neighbours as NB
+
+    topics = NB.prepare(cent, topic, "centroid", "cosine")
+    docs = NB.prepare(vectors, id_col, vec, "cosine")
+    asked = docs.rows.where(F.size("vec") == topics.width).select((-1 - F.col("row")).alias("row"), "vec")
+    best = NB.against(topics, asked, 2, ASSIGN_CHUNK)
+    near = best.groupBy("row").agg(*[F.max(F.when(F.col("rank") == r, F.struct("other_id", "d"))).alias(n)
+                                     for r, n in ((1, "a"), (2, "b"))])
+    return near.join(docs.rows.select((-1 - F.col("row")).alias("row"), "id"), "row").select(
+        F.col("id").alias(id_col), F.col("a.other_id").alias(topic), (1 - F.col("a.d")).alias("similarity"),
+        F.col("b.other_id").alias("runner_up"), (F.col("b.d") - F.col("a.d")).alias("margin"))
+
+
+def leaf_order(merges: DataFrame, topics: DataFrame, topic: str = "topic") -> DataFrame:
+    """``topic, position``: leaves of the merge tree side by side.
+
+    ``merges`` (``step, left, right``) and ``topics`` are the rows of a report (its
+    top-n), so one task orders them.  Where two groups merge, that with the smaller
+    least topic comes first; groups that nothing joins follow in the same order.
+    """
+    import pandas as pd
+
+    kind = dict(topics.dtypes)[topic]
+    rows = topics.select(F.lit(-1).cast("long").alias("step"), F.col(topic).cast("long").alias("l"), F.lit(None).cast("long").alias("r"))
+    rows = rows.unionByName(merges.select(F.col("step").cast("long"), F.col("left").cast("long").alias("l"),
+                                          F.col("right").cast("long").alias("r")))
+
+    def order(part: pd.DataFrame) -> pd.DataFrame:
+        group = {int(t): [int(t)] for t in part.loc[part.step < 0, "l"]}
+        for m in part[part.step >= 0].sort_values("step").itertuples():
+            a, b = sorted((group[int(m.l)], group[int(m.r)]), key=min)
+            for t in (whole := a + b):
+                group[t] = whole
+        heads = sorted({min(g): g for g in group.values()}.items())
+        return pd.DataFrame([(t, i) for i, t in enumerate(t for _, g in heads for t in g)], columns=[topic, "position"])
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(order, f"{topic} long, position int").select(
+        F.col(topic).cast(kind).alias(topic), "position")
+
+
 def top_topics(sizes: DataFrame, n: int, topic: str = "topic",
                exclude_outliers: bool = True) -> DataFrame:
     """the n largest topics (size desc, id asc): a top-n report."""

@@ -4,7 +4,8 @@ from importlib import import_module
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms", "q_topics", "q_text", "q_stream", "q_models", "q_vectors"]
+_MODULES = ["q_profile", "q_shape", "q_eval", "q_ingest", "q_terms", "q_topics", "q_text", "q_stream", "q_models", "q_vectors",
+            "q_neighbours", "q_words"]
 
 
 def load_all() -> None:

@@ -121,6 +121,22 @@ def a7_links(spark, sf):
         "page_id", F.col("pos").cast("int").alias("pos"), "url")
 
 
+def _container_sql(tag):
+    return f"""
+SELECT page_id, '{tag}' AS selector, CAST(i AS INTEGER) AS pos, regexp_extract(c, '<a\\s[^>]*href="([^"]*)"', 1) AS url
+FROM (SELECT page_id, unnest(range(0, len(l))) AS i, unnest(l) AS c
+      FROM (SELECT page_id, regexp_extract_all(html, '(?s)<{tag}\\b.*?</{tag}>') AS l FROM pages))
+WHERE regexp_matches(c, '<a\\s[^>]*href="')"""
+
+
+@query("a7_container_links", f"{_container_sql('li')} UNION ALL {_container_sql('nav')}")
+def a7_containers(spark, sf):
+    """The first link of each listing item, and of each listing as a whole."""
+    pages = table(spark, sf, "pages")
+    found = [H.container_links(pages, s).select("page_id", F.lit(s).alias("selector"), "pos", "url") for s in ("li", "nav")]
+    return found[0].unionByName(found[1])
+
+
 @query("a8_paginate_until_empty", with_views("""
 SELECT session, page_num, n_links FROM (
   SELECT *, min(n_links) OVER (PARTITION BY session ORDER BY page_num

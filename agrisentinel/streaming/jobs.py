@@ -9,10 +9,11 @@ lost executor or a restarted run neither loses nor duplicates output.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ingest import keep_first
 
@@ -96,3 +97,73 @@ def first_per_key_sink(stream: DataFrame, path: str, checkpoint: str, key: str =
 def first_per_key(spark: SparkSession, path: str, key: str = "url",
                   order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
     return keep_first(spark.read.parquet(path).drop("batch_id"), key, list(order))
+
+
+# --- K7: strict keep-first with keyed state -----------------------------------------------
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHANGE = "key string, event_id long, at long, version int, change string, replaces long"
+
+
+class EarliestRecord(StatefulProcessor):
+    """Per key the earliest record so far, by (time, id).
+
+    Rows out: ``first`` when a key appears, ``correction`` when an earlier record
+    arrives later (``replaces`` names the record it supersedes), ``settled`` once the
+    watermark has passed the record's time, after which no earlier one is admitted.
+    The state of a key is one record; it stays, so a settled key's later records are
+    known to be repeats.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("earliest", "at long, event_id long, version int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        at, event_id = min((r.at, r.event_id) for r in rows)
+        old = self.kept.get() if self.kept.exists() else None
+        if old is not None and (old[0], old[1]) <= (at, event_id):
+            return
+        version = 0 if old is None else old[2] + 1
+        self.kept.update((at, event_id, version))
+        if old is not None:
+            self.handle.deleteTimer(old[0] // 1000)
+        self.handle.registerTimer(at // 1000)
+        yield Row(key=key[0], event_id=event_id, at=at, version=version, change="first" if old is None else "correction",
+                  replaces=None if old is None else old[1])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.kept.exists():
+            at, event_id, version = self.kept.get()
+            yield Row(key=key[0], event_id=event_id, at=at, version=version, change="settled", replaces=None)
+
+    def close(self) -> None:
+        pass
+
+
+def earliest_changes(stream: DataFrame, key: str = "url", delay: str = "60 days") -> DataFrame:
+    """K7: changes (``CHANGE``, ``at`` in microseconds) to the earliest record per key.
+
+    Null and empty keys are left out; records later than ``delay`` behind the newest
+    are dropped by the watermark, so what has settled stays.
+    """
+    rows = (stream.where(F.col(key).isNotNull() & (F.col(key) != "")).withWatermark("event_time", delay)
+                  .select(F.col(key).alias("key"), "event_time", F.unix_micros("event_time").alias("at"), "event_id"))
+    return rows.groupBy("key").transformWithState(EarliestRecord(), CHANGE, "Append", "EventTime")
+
+
+def run_earliest(stream: DataFrame, path: str, checkpoint: str, **options) -> None:
+    """One ``availableNow`` run of ``earliest_changes`` into a Parquet table of changes."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        run_available_now(earliest_changes(stream, **options), path, checkpoint)
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def earliest_now(changes: DataFrame) -> DataFrame:
+    """The current record per key: its latest version (partial aggregation)."""
+    latest = F.max(F.struct("version", "event_id", "at")).alias("l")
+    return changes.groupBy("key").agg(latest).select("key", "l.event_id", "l.at", "l.version")
