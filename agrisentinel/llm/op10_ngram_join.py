@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from .components import connected_components
-from .tables import broadcast_if_small, materialise, release
+from .tables import broadcast_if_small, materialise, own_names, release
 
 U = np.uint64
 SCAN = ("id long, n_shingles long, set_a long, set_b long, sigs array<long>, spare long, "
@@ -297,15 +297,24 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_per_class(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without the documents that link to one of a smaller id (columns kept).
 
-    A group keeps its smallest id; of rows that repeat an id with that id's
-    text one stays.  Rows with a null id stay.
+    A group keeps its smallest id.  Of rows that repeat an id and its text one stays,
+    the first in the order of all columns.  Where an id stands for different texts, each
+    of them stays once: the id does not tell which of them links.  Rows with a null id
+    stay.
     """
     found = similarity_classes(docs, shingle=shingle, num=num, den=den)
-    gone = (found.where("id != component_id").select(F.col("id").alias("doc_id")).distinct())
-    gone = materialise(gone, "op10-gone")
-    kept = docs.join(broadcast_if_small(gone, 40), "doc_id", "left_anti")
-    repeated = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    gone = found.where("id != component_id").select(F.col("id").alias("doc_id")).distinct()
+    rows, names, back = own_names(docs)
+    key, text = names["doc_id"], F.xxhash64(names["text"])
+    repeated = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(text).alias("_least"), F.max(text).alias("_most")).where("_rows > 1"), "op10-repeated")
+    several = repeated.where("_least != _most").select(F.col(key).alias("doc_id"))
+    gone = materialise(gone.join(several, "doc_id", "left_anti"), "op10-gone").withColumnRenamed("doc_id", key)
+    kept = rows.join(broadcast_if_small(gone, 40), key, "left_anti")
     if repeated.limit(1).count():
-        null_id = kept.where(F.col("doc_id").isNull())
-        kept = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(null_id)
-    return kept.select(*docs.columns)
+        again = broadcast_if_small(repeated.select(key), 40)
+        first = F.min(F.struct(*[F.col(n) for n in names.values()])).alias("_first")
+        once = (kept.join(again, key, "left_semi").groupBy(F.col(key).alias("_id"), text.alias("_text")).agg(first)
+                    .select("_first.*"))
+        kept = kept.join(again, key, "left_anti").unionByName(once)
+    return kept.select(*back)

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import broadcast_if_small, materialise
+from .tables import broadcast_if_small, materialise, own_names
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -156,6 +156,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     }).drop("_tkey", "_found_hits", "_found_n_hit", "_found_items")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (columns as they are) without any occurring window."""
+    rows, names, back = own_names(docs)
+    found = contamination(rows, benchmark, window, names[id_col], names[text_col])
+    return found.where(F.col("n_hit") == 0).select(*back)
+
+
 def proximity_matches(docs: DataFrame, queries: DataFrame, slop: int = 10, id_col: str = "doc_id",
                       text_col: str = "text", query_col: str = "item_id", query_text: str = "text") -> DataFrame:
     """``query, doc, pos``: places of a query's rarest term with all its other

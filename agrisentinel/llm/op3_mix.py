@@ -140,9 +140,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per row of ``docs``."""
     rows, pieces, slots = plan_mix(docs, **options)
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = (pieces.join(times, ["sid", "block"]).groupBy("row")
+    # Spark guesses the slots' size from the plan table they come from, far too small to broadcast by
+    taken = (pieces.join(times.hint("merge"), ["sid", "block"]).groupBy("row")
                    .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken")))
-    return rows.join(taken, "row", "left").select(
+    return rows.join(taken.hint("merge"), "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 

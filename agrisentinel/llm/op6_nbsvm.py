@@ -263,6 +263,9 @@ def _with_margin(ratio: np.ndarray, w: np.ndarray, text_at: int):
     return run
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` (same columns) without the documents scored below ``threshold``."""
-    return quality_scores(docs, labels).where(F.col("score") >= threshold).select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` (columns as they are) without the documents scored below ``threshold``."""
+    rows, names, back = own_names(docs)
+    scored = quality_scores(rows, labels.withColumnRenamed(id_col, names[id_col]), names[id_col], names[text_col])
+    return scored.where(F.col("score") >= threshold).select(*back)

@@ -14,8 +14,8 @@ are below it.
 Null and empty texts are documents of 0 tokens.  Repeated rows are documents of
 their own.  Texts of any length are encoded in pieces cut at white space.  The
 n-th document of a file is the n-th row of the partition that wrote it, so
-``document_tokens`` needs a scan of stored files as its input (any other frame is
-stored first).  Extra columns are ignored.
+``document_tokens`` reads a scan of stored files as it is; a frame that a shuffle
+deals is stored first.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from .tables import materialise
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 EOD = 0xC480  # big-endian bytes C4 80, U+0100 in UTF-8; ids of the vocabulary are below 50,257
@@ -125,8 +126,11 @@ def scan_token_files(spark: SparkSession, folder: str, block_bytes: int = BLOCK_
 
 
 def document_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, file, ordinal, n_tokens`` of each row of ``docs``, a scan of files."""
+    """``doc_id, file, ordinal, n_tokens`` of each row of ``docs``."""
     spark = docs.sparkSession
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        # a shuffle may deal rows otherwise when it runs again; a scan of files cannot
+        docs = materialise(docs.select(id_col, text_col), "op9-documents")
     folder = scratch_path(spark, "op9-tokens")
     write_token_files(docs, folder, text_col, tokenizer)
     found = scan_token_files(spark, folder)

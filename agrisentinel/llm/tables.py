@@ -31,6 +31,13 @@ def materialise(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str], list]:
+    """``docs`` under reserved column names, those names by the old ones, and the
+    expressions that give the old columns back: no helper column can clash."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, [F.col(n).alias(c) for c, n in names.items()]
+
+
 def release(df: DataFrame) -> None:
     """Remove the scratch files of a materialised frame that nothing will read again."""
     spark = df.sparkSession

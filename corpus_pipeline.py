@@ -9,7 +9,6 @@ stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from agrisentinel.llm import op1_decontaminate, op3_mix, op5_line_templates, op6_nbsvm, op10_ngram_join
 from agrisentinel.llm.tables import materialise, read_documents, read_table
@@ -32,8 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window of ten words go."""
-    found = op1_decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("n_hit") == 0).select(*docs.columns)
+    return op1_decontaminate.uncontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
