@@ -161,12 +161,11 @@ def _finish(min_size: int):
                 yield here, group
         m.run(by_weight())
         m.close()
-        ended = pd.DataFrame(m.ended, columns=["cluster", "parent", "stability", "kids", "n_kids", "top", "size"])
-        joined = pd.DataFrame(m.joined, columns=["comp", "cluster", "level"])
-        out = pd.concat([ended.assign(comp=None, level=None), joined.assign(
-            parent=None, stability=None, kids=None, n_kids=None, top=None, size=None)])
-        return out[["cluster", "parent", "stability", "kids", "n_kids", "top", "size", "comp", "level"]].astype(
-            {"n_kids": "Int32", "size": "Int64", "comp": "Int64", "stability": float, "kids": float, "top": float, "level": float})
+        rows = [(*e, None, None) for e in m.ended] + [(cluster, None, None, None, None, None, None, comp, at)
+                                                      for comp, cluster, at in m.joined]
+        names = ["cluster", "parent", "stability", "kids", "n_kids", "top", "size", "comp", "level"]
+        return pd.DataFrame(rows, columns=names).astype({"n_kids": "Int32", "size": "Int64", "comp": "Int64", "stability": float,
+                                                         "kids": float, "top": float, "level": float})
     return run
 
 
