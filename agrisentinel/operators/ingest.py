@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import store
+
 
 def extract_links(pages: DataFrame, html: str = "html", id_col: str = "page_id",
                   pattern: str = r'<a\s[^>]*href="([^"]*)"') -> DataFrame:
@@ -79,9 +81,9 @@ def distinct_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def split_outcomes(df: DataFrame, outcome: Column) -> tuple[DataFrame, DataFrame]:
-    """Evaluate ``outcome`` (``struct<content, error>``) once, persist, and
-    return (successes, errors).  Callers write both and then unpersist."""
-    res = df.withColumn("_outcome", outcome).persist()
+    """Evaluate ``outcome`` (``struct<content, error>``) once, store it, and
+    return (successes, errors)."""
+    res = store(df.withColumn("_outcome", outcome), "outcomes")
     ok = (res.where(F.col("_outcome.error").isNull())
              .withColumn("content", F.col("_outcome.content")).drop("_outcome"))
     bad = (res.where(F.col("_outcome.error").isNotNull())

@@ -18,13 +18,17 @@ come out as coordinates that tell the parts apart.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import store
+from .neighbours import matrix
 
-STEPS = 4
+STEPS = 6
 SPARE = 3
 
 
@@ -45,19 +49,29 @@ def _multiply(edges: DataFrame, block: DataFrame, width: int) -> DataFrame:
 
 
 def _products(rows: DataFrame, columns: int) -> np.ndarray:
-    """Inner products of the columns of ``all`` (an array per row)."""
-    pairs = [(i, j) for i in range(columns) for j in range(i, columns)]
-    sums = rows.agg(*[F.sum(F.col("all")[i] * F.col("all")[j]) for i, j in pairs]).first()
-    out = np.zeros((columns, columns))
-    for (i, j), x in zip(pairs, sums):
-        out[i, j] = out[j, i] = x or 0.0
-    return out
+    """Inner products of the columns of ``all`` (an array per row), summed per task first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((columns, columns))
+        for b in batches:
+            a = matrix(b.column(0), columns)
+            total += a.T @ a
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(columns * columns, dtype=np.int32)), pa.array(total.ravel())],
+                                         names=["place", "x"])
+    out = np.zeros(columns * columns)
+    for r in rows.select("all").mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect():
+        out[r.place] = r.x
+    return out.reshape(columns, columns)
 
 
 def _combined(rows: DataFrame, m: np.ndarray) -> DataFrame:
     """``row, y``: the first columns of ``all`` times a small matrix."""
-    new = [sum((F.col("all")[i] * F.lit(float(m[i, j])) for i in range(m.shape[0])), F.lit(0.0)) for j in range(m.shape[1])]
-    return rows.select("row", F.array(*new).alias("y"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                y = matrix(b.column(1), len(b.column(1)[0]))[:, : len(m)] @ m
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["row", "y"])
+    return rows.select("row", "all").mapInArrow(run, "row long, y array<double>")
 
 
 def _best(gram: np.ndarray, h: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +84,7 @@ def _best(gram: np.ndarray, h: np.ndarray, keep: int) -> tuple[np.ndarray, np.nd
     return quotients[order], base @ turn[:, order]
 
 
-def spectral_coordinates(graph: DataFrame, nodes: DataFrame, dims: int, tolerance: float = 1e-4, seed: int = 42) -> DataFrame:
+def spectral_coordinates(graph: DataFrame, nodes: DataFrame, dims: int, tolerance: float = 1e-3, seed: int = 42) -> DataFrame:
     """``row, coords`` of ``nodes`` (row): ``dims`` coordinates; zeros for a row without neighbours."""
     edges = graph_edges(graph)
     weight = edges.select(F.col("u").alias("row"), "d").distinct()

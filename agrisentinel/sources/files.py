@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import store
+
 CORRUPT = "_corrupt_record"
 
 
@@ -54,7 +56,8 @@ def read_json_permissive(spark: SparkSession, path: str, schema: StructType) ->
     """
     full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
     df = (spark.read.schema(full).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).json(path)).cache()
+          .option("columnNameOfCorruptRecord", CORRUPT).json(path))
+    df = store(df, "permissive")  # parsed once for both outputs
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     return good, bad

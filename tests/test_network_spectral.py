@@ -80,11 +80,11 @@ def preserved(spark, v, coords, k):
 
 def test_neighbours_are_kept_better_than_by_projection(spark):
     """A closed line whose widest plane it rounds five times: points far apart along the line meet there."""
-    t = np.linspace(0, 2 * np.pi, 120, endpoint=False)
+    t = np.linspace(0, 2 * np.pi, 200, endpoint=False)
     x = np.stack([size * f(m * t) for m, size in ((1, 0.3), (5, 1.1), (7, 1.0)) for f in (np.sin, np.cos)], axis=1)
     rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "id long, embedding array<double>")
     v = NB.prepare(rows, metric="euclidean")
-    spectral = SP.spectral_coordinates(NB.neighbour_graph(v, 6), v.rows, 2)
+    spectral = SP.spectral_coordinates(NB.neighbour_graph(v, 6), v.rows, 2, tolerance=1e-5)
     pca = EM.pca_project(v.rows.select("row", "vec"), "vec", 2, normalise=False)
     ours, theirs = (preserved(spark, v, c.select("row", "coords"), 6) for c in (spectral, pca))
     assert ours > theirs + 0.1
