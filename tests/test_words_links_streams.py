@@ -31,9 +31,10 @@ def trained(corpus):
     return tokens, W.train(tokens, size=16, rounds=3)
 
 
-def test_a_rerun_gives_the_same_vectors(corpus, trained):
-    again = W.train(W.token_table(corpus.repartition(3)), size=16, rounds=3)
-    assert again.words == trained[1].words and np.allclose(again.vectors, trained[1].vectors)
+def test_a_rerun_in_one_partition_gives_the_same_vectors(corpus, trained):
+    first = W.train(trained[0], size=16, partitions=1)
+    again = W.train(W.token_table(corpus.repartition(3)), size=16, partitions=1)
+    assert again.words == first.words and np.array_equal(again.vectors, first.vectors)
 
 
 def test_words_of_one_theme_are_near(trained):
