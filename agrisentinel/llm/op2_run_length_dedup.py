@@ -19,6 +19,10 @@ judged on the input.
    through it in text order: between samples the match length falls by one per
    byte, so the samples alone give every matching statistic.  Windows whose
    match with a neighbour reaches ``length`` are marked.
+   Where very many different classes hold one of those longer strings (a passage
+   of nearly ``length`` bytes in any number of documents), one shard could not
+   take them: the string that routes their windows grows to the whole window, so
+   equal windows meet as partial counts and no task gathers the group.
 4. Marks go back to the members of each class and are merged per document.
 
 Null or empty texts, and texts shorter than ``length``, have no marks.  Repeated
@@ -42,8 +46,8 @@ U = np.uint64
 GRAM = 40
 SLICE = 1 << 20
 #: bytes of class texts in one index shard, and classes of one anchor in it
-SHARD_BYTES = 2 << 20
-SHARD_CLASSES = 4096
+SHARD_BYTES = 1 << 20
+SHARD_CLASSES = 2048
 STEP = 32
 ITEMS = "h long, ctx long, id long, tkey long, lo int, n int, at int"
 
@@ -232,6 +236,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(id_col).alias("doc"), F.col(text_col).cast("binary").alias("text"))
 
 
+def _repeated_windows(parts: DataFrame, length: int) -> DataFrame:
+    """Marks of the ``parts`` whose route is crowded, window by window: a window is
+    told by its route and the hash of its bytes, and repeats where two places hold it."""
+    each = F.expr(f"transform(sequence(0, n - 1), i -> xxhash64(substring(text, i + 1, {length})))")
+    # hashes instead of texts; stored, so that AQE can split both sides of the join
+    windows = materialise(parts.select("h", "ctx", "off", "copies", "route", each.alias("w")), "op2-windows")
+    windows = windows.select("h", "ctx", "off", "copies", "route", F.posexplode("w").alias("i", "w"))
+    again = materialise(windows.groupBy("route", "w").agg(F.sum("copies").alias("c")).where("c > 1").select("route", "w"),
+                        "op2-again")
+    hit = windows.join(broadcast_if_small(again, 16), ["route", "w"], "left_semi")
+    return (hit.groupBy("h", "ctx", "off").agg(F.sort_array(F.collect_list("i")).alias("from_w"))  # STEP at most
+               .select("h", "ctx", "off", "from_w", F.transform("from_w", lambda x: x + 1).alias("to_w")))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    length: int = 200, gram: int = GRAM) -> DataFrame:
     """``docs`` keyed and with ``span_lo, span_hi``: the removable byte spans
@@ -267,13 +285,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = F.expr(f"""transform(parts, x -> named_struct('h', x.h, 'ctx', x.ctx, 'copies', x.copies,
         'off', x.off, 'n', x.end - x.off,
         'text', substring(text, x.lo + x.off + 1, x.end - x.off + {length - 1}),
+        'split', x.j >= 0,
         'route', if(x.j < 0, x.h, xxhash64(x.h, x.j, substring(text, x.lo + x.at - {STEP} * x.j + 1, {length - STEP + 1})))))""")
     parts = docs_of.join(mixed, ["id", "tkey"]).select(F.explode(cut).alias("x")).select("x.*")
     parts = materialise(parts, "op2-parts")
-    total = parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    crowded = materialise(parts.where("split").groupBy("route").agg(F.sum(F.col("n") + (length - 1)).alias("size"))
+                               .where(F.col("size") > SHARD_BYTES // 4).select("route"), "op2-crowded")
+    crowd = broadcast_if_small(crowded, 8)
+    indexed = parts.join(crowd, "route", "left_anti")
+    total = indexed.agg(F.coalesce(F.sum(F.col("n").cast("long") + (length - 1)), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD_BYTES))
-    found = (parts.groupBy(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
-                  .applyInArrow(_resolve(length), "h long, ctx long, off int, from_w array<int>, to_w array<int>"))
+    found = (indexed.groupBy(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard"))
+                    .applyInArrow(_resolve(length), "h long, ctx long, off int, from_w array<int>, to_w array<int>"))
+    found = found.unionByName(_repeated_windows(parts.join(crowd, "route", "left_semi"), length))
     found = materialise(
         found.select("h", "ctx", F.transform("from_w", lambda x: x + F.col("off")).alias("from_w"),
                      F.transform("to_w", lambda x: x + F.col("off")).alias("to_w")).where("size(from_w) > 0"),

@@ -1,6 +1,8 @@
 """Operators against brute force, and the defined results of edge cases."""
 
+import glob
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -15,6 +17,7 @@ from agrisentinel.llm import (hashing, op1_decontaminate, op2_run_length_dedup,
                               op5_line_templates, op6_nbsvm, op7_language_evidence, op8_license_digests,
                               op9_separator_scan, op10_ngram_join)
 from agrisentinel.llm.queries import QUERIES
+from agrisentinel.session import checkpoint_root
 from conftest import SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, hits string, score string, line string"
@@ -144,6 +147,26 @@ def test_repeated_bytes(spark, monkeypatch, classes):
     assert sorted(map(tuple, got)) == brute_repeats(texts, 200)
 
 
+def test_passage_in_many_different_documents(spark, monkeypatch):
+    """Crowded routes are resolved window by window, and no shard takes them."""
+    monkeypatch.setattr(op2_run_length_dedup, "SHARD_CLASSES", 8)
+    monkeypatch.setattr(op2_run_length_dedup, "SHARD_BYTES", 16 << 10)
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    near, whole = word(195), word(215)
+    texts = [word(120) + near + word(120) for _ in range(300)] + [word(90) + whole + word(150) for _ in range(200)]
+    texts += [texts[0], texts[310], "é" + near + "é" * 90]
+    docs = plain(spark, texts)
+    got = op2_run_length_dedup.remove_repeats(docs).drop("kept").collect()
+    assert sorted(map(tuple, got)) == brute_repeats(texts, 200)
+    scratch = checkpoint_root(spark).removeprefix("file:")
+    parts, gone = (spark.read.parquet(max(glob.glob(f"{scratch}/agrisentinel/{name}-*"), key=os.path.getmtime))
+                   for name in ("op2-parts", "op2-crowded"))
+    assert gone.count() > 0
+    left = parts.join(gone, "route", "left_anti").groupBy("route").agg(F.sum(F.octet_length("text")).alias("b"))
+    assert left.agg(F.max("b")).first()[0] <= 16 << 10
+
+
 def test_repeated_bytes_edges(spark, edge, nothing):
     got = op2_run_length_dedup.remove_repeats(edge)
     rows = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in got.collect()}
