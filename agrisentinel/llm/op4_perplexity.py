@@ -7,6 +7,8 @@ orders by distinct left neighbours, three discounts per order and language from
 the counts of counts, interpolated down to the uniform distribution.  The model
 is stored as one sorted array of 64-bit n-gram keys with log-probabilities and
 back-off weights per language and order; documents are scored by binary search.
+A model beyond ``MODEL_ENTRIES`` is not sent whole: the distinct n-grams of chunks
+of documents meet it by key, and each chunk is scored with the values it needs.
 
 A document's perplexity (negative log-probability of all its bytes over its bytes
 of letters and digits, so that signs raise it) must lie in its language's band: the quartiles
@@ -21,6 +23,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +36,12 @@ from . import hashing as H
 from .tables import materialise
 
 U = np.uint64
-ORDER = 4
-#: n-grams of a model that goes to every scoring task (about 20 bytes each);
-#: a larger one is joined to the documents language by language
-MODEL_ENTRIES = 2_000_000
+ORDER = 5
+#: n-grams of a model that goes to every scoring task (16 bytes each there); a
+#: larger one is joined by key to the n-grams of chunks of documents
+MODEL_ENTRIES = 6_000_000
+#: bytes of text in such a chunk
+CHUNK_TEXT = 8 << 20
 COMPACT = 4_000_000
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -60,7 +65,7 @@ def ngram_keys(buf: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
 
 def _by_language(batch: pa.RecordBatch, lang_at: int, text_at: int):
     """(language, row numbers, bytes, offsets) of a batch, about CHUNK_BYTES each."""
-    lang = batch.column(lang_at).fill_null("").to_pylist()
+    lang = ["" if x is None else f"={x}" for x in batch.column(lang_at).to_pylist()]  # null is not the empty name
     rows: dict[str, list[int]] = {}
     for i, name in enumerate(lang):
         rows.setdefault(name, []).append(i)
@@ -153,14 +158,15 @@ class SortedModel:
     """Sorted key arrays per (language, n); looked up by binary search."""
 
     def __init__(self, table: pa.Table):
-        lang = np.array(table.column("lang").to_pylist(), dtype=object)
+        coded = pa.chunked_array(table.column("lang").chunks, pa.string()).combine_chunks().dictionary_encode()
+        lang = coded.indices.to_numpy(False)
         n, key = table.column("n").to_numpy(), table.column("key").to_numpy()
         logp = table.column("logp").to_pandas().to_numpy(np.float64)
         backoff = table.column("backoff").to_pandas().to_numpy(np.float64)
         self.parts = {}
-        for name in sorted(set(lang)):  # none for an empty corpus
+        for code, name in enumerate(coded.dictionary.to_pylist()):  # none for an empty corpus
             for order in range(0, int(n.max()) + 1):
-                pick = np.flatnonzero((lang == name) & (n == order))
+                pick = np.flatnonzero((lang == code) & (n == order))
                 pick = pick[np.argsort(key[pick], kind="stable")]
                 self.parts[name, order] = (key[pick], logp[pick].astype(np.float32),
                                            np.nan_to_num(backoff[pick]).astype(np.float32))
@@ -228,6 +234,8 @@ def base_counts(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCORED = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", nll double"
+EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "lang": pa.array([], pa.string()),
+                  **{c: pa.array([], pa.int64()) for c in COUNTS}, "nll": pa.array([], pa.float64())})
 
 
 def _score_batch(batch: pa.RecordBatch, model: SortedModel) -> pa.RecordBatch:
@@ -251,31 +259,63 @@ def scores(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", lang_col:
     """Base counts and negative log-probability per byte of letters and digits (``nll``) of each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     if model.count() <= MODEL_ENTRIES:
-        shared = docs.sparkSession.sparkContext.broadcast(SortedModel(model.toArrow()))
+        small = model.select("lang", "n", "key", F.col("logp").cast("float"), F.col("backoff").cast("float"))
+        shared = docs.sparkSession.sparkContext.broadcast(SortedModel(small.toArrow()))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield _score_batch(batch, shared.value)
         return rows.mapInArrow(score, SCORED)
 
-    # a large model meets its language's documents in groups of about 4096
+    # a large model: the distinct n-grams of chunks of documents meet it by key, and each
+    # chunk gets back the values of its own n-grams alone
+    order = int(model.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0])
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunk = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(max(1, -(-int(size) // CHUNK_TEXT))))
+    dealt = materialise(rows.withColumn("chunk", chunk), "op4-dealt")
+    keys = materialise(dealt.groupBy("chunk").applyInArrow(_chunk_keys(order), "chunk long, lang string, key long"),
+                       "op4-chunk-keys")
+    known = keys.join(look_up(keys.select("lang", "key").distinct(), model, order), ["lang", "key"])
+
     def together(left: pa.Table, right: pa.Table) -> pa.Table:
         own = SortedModel(right)
-        left = left.select(["doc_id", "lang", "text"])
-        return pa.Table.from_batches([_score_batch(b, own) for b in left.combine_chunks().to_batches()]) if left.num_rows else (
-            pa.Table.from_batches([], schema=pa.schema([("doc_id", pa.int64()), ("lang", pa.string()),
-                                                        *[(c, pa.int64()) for c in COUNTS], ("nll", pa.float64())])))
-    groups = materialise(rows.groupBy(F.coalesce("lang", F.lit("")).alias("l")).agg(
-        F.ceil(F.count(F.lit(1)) / 4096).cast("int").alias("parts")), "op4-groups")
-    parts = F.broadcast(groups)  # a row per language
-    dealt = rows.join(parts, F.coalesce("lang", F.lit("")) == F.col("l")).select(
-        "doc_id", "lang", "text", F.col("l").alias("group"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.col("parts")).cast("int").alias("part"))
-    spread = model.join(parts, model["lang"] == groups["l"]).select(
-        "lang", "n", "key", "logp", "backoff", F.col("l").alias("group2"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part2"))
-    return (dealt.groupBy("group", "part").cogroup(spread.groupBy("group2", "part2"))
-                 .applyInArrow(lambda a, b: together(a, b.select(["lang", "n", "key", "logp", "backoff"])), SCORED))
+        done = [_score_batch(b, own) for b in left.select(["doc_id", "lang", "text"]).to_batches()]
+        return pa.Table.from_batches(done) if done else EMPTY
+    return (dealt.groupBy("chunk").cogroup(
+                known.select(F.col("chunk").alias("of"), "lang", F.lit(order).alias("n"), "key", "logp",
+                             F.lit(None).cast("float").alias("backoff")).groupBy("of"))
+                 .applyInArrow(lambda a, b: together(a, b.drop_columns(["of"])), SCORED))
+
+
+def _chunk_keys(order: int):
+    def run(table: pa.Table) -> pa.Table:
+        held: dict[str, list] = {}
+        for batch in table.select(["lang", "text"]).to_batches():
+            for name, _, buf, off in _by_language(batch, 0, 1):
+                held.setdefault(name, []).append(np.unique(ngram_keys(buf, off, order)))
+        found = {name: np.unique(np.concatenate(parts)) for name, parts in held.items()}
+        sizes = [len(k) for k in found.values()]
+        return pa.table({"chunk": pa.array(np.full(sum(sizes), table.column("chunk")[0].as_py(), np.int64)),
+                         "lang": pa.array(list(found), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                         "key": pa.array(np.concatenate([*found.values(), np.zeros(0, np.int64)]))})
+    return run
+
+
+def look_up(keys: DataFrame, model: DataFrame, order: int) -> DataFrame:
+    """``lang, key, logp`` of distinct n-gram keys by joins, backing off from order to order."""
+    todo, found = keys.withColumn("carried", F.lit(0.0)), None
+    for n in range(order, 0, -1):
+        own = F.col("key").bitwiseAND((1 << 8 * n) - 1)
+        grams = model.where((F.col("n") == n) & F.col("logp").isNotNull()).select("lang", F.col("key").alias("own"), "logp")
+        met = materialise(todo.withColumn("own", own).join(grams, ["lang", "own"], "left"), f"op4-met{n}")
+        hit = met.where("logp is not null").select("lang", "key", (F.col("carried") + F.col("logp")).cast("float").alias("logp"))
+        found = hit if found is None else found.unionByName(hit)
+        weights = model.where((F.col("n") == n - 1) & F.col("backoff").isNotNull()).select(
+            "lang", F.col("key").alias("context"), "backoff")
+        todo = (met.where("logp is null").withColumn("context", F.shiftrightunsigned("own", 8))
+                   .join(weights, ["lang", "context"], "left")
+                   .select("lang", "key", (F.col("carried") + F.coalesce("backoff", F.lit(0.0))).alias("carried")))
+    return found.unionByName(todo.select("lang", "key", (F.col("carried") - math.log(256)).cast("float").alias("logp")))
 
 
 def perplexity_bands(scored: DataFrame, spread: float = 3.0, least: float = 0.1) -> DataFrame:

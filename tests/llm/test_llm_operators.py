@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import math
 import os
 import random
 import re
@@ -271,7 +272,91 @@ def test_kneser_ney_sums_to_one(spark):
     model = op4_perplexity.SortedModel(table.toArrow())
     for context in (b"ab", b"ca", b"zz"):
         keys = np.array([(context[0] << 16) | (context[1] << 8) | b for b in range(256)], np.int64)
-        assert np.exp(model.log_probability("en", keys)).sum() == pytest.approx(1, abs=1e-5)
+        assert np.exp(model.log_probability("=en", keys)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def brute_kneser_ney(texts, order):
+    """log-probability function of byte n-grams, by plain counting."""
+    counts = {order: Counter()}
+    for t in texts:
+        b = bytes(order - 1) + t.encode()
+        counts[order].update(b[i: i + order] for i in range(len(b) - order + 1))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    parts = {}
+    for n, c in counts.items():
+        of = [0] + [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0.0
+        d = [0] + [max(0.0, k - (k + 1) * y * of[k + 1] / of[k]) if of[k] else k / 2 for k in (1, 2, 3)]
+        total, freed = Counter(), Counter()
+        for g, v in c.items():
+            total[g[:-1]] += v
+            freed[g[:-1]] += min(d[min(v, 3)], v)
+        parts[n] = c, d, total, freed
+
+    def probability(g):
+        if not g:
+            return 1 / 256
+        c, d, total, freed = parts[len(g)]
+        context, low = g[:-1], probability(g[1:])
+        if not total[context]:
+            return low
+        return max(c[g] - d[min(c[g], 3)], 0) / total[context] + freed[context] / total[context] * low
+    return probability
+
+
+def test_model_against_plain_counting(spark):
+    texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog", "aaaa aaab", "the cat sat"]
+    docs = frame(spark, [(i, t, None, "a") for i, t in enumerate(texts)] + [(9, "xyz the zyx", "", "a")])
+    model = op4_perplexity.SortedModel(op4_perplexity.kneser_ney(op4_perplexity.ngram_counts(docs, order=4), 4).toArrow())
+    plain_p = brute_kneser_ney(texts, 4)
+    grams = [b"the ", b"cat ", b" sat", b"aaaa", b"aaab", b"zzzz", b"he z", b"at o", bytes(3) + b"t", bytes(3) + b"q"]
+    got = model.log_probability("", np.array([int.from_bytes(g, "big") for g in grams], np.int64))
+    assert np.exp(got) == pytest.approx([plain_p(g) for g in grams], rel=1e-4)
+    other = brute_kneser_ney(["xyz the zyx"], 4)  # the empty name is another language than null
+    assert np.exp(model.log_probability("=", np.array([int.from_bytes(b" the", "big")])))[0] == pytest.approx(other(b" the"), rel=1e-4)
+
+
+def test_bands_and_verdicts(spark):
+    rows = [r.asDict() for r in op4_perplexity.quality_rules(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()]
+    assert any(r["kept"] for r in rows)
+    for lang in {r["lang"] for r in rows}:
+        own = [r for r in rows if r["lang"] == lang]
+        passed = sorted(round(r["nll"] * 1000) / 1000 for r in own if not r["base_failed"])
+        q1, q3 = (passed[math.ceil(q * len(passed)) - 1] for q in (0.25, 0.75))
+        room = max(3 * (q3 - q1), 0.1)
+        for r in own:
+            assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+            assert (r["lower"], r["upper"]) == (pytest.approx(q1 - room, abs=2e-3), pytest.approx(q3 + room, abs=2e-3))
+            assert r["kept"] == (not r["base_failed"] and r["lower"] <= r["nll"] <= r["upper"])
+
+
+def test_word_salad_leaves_its_band(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.choice((1, 2, 3)))) for _ in range(300)]
+    phrases = [" ".join(rng.choice(vocabulary) for _ in range(8)) for _ in range(150)]
+    texts = [". ".join(rng.sample(phrases, 12)) for _ in range(120)]
+    texts += [" ".join(rng.choice(vocabulary) for _ in range(96)) for _ in range(4)]
+    got = {r["doc_id"]: r for r in op4_perplexity.quality_rules(plain(spark, texts).withColumn("lang", F.lit("xx"))).collect()}
+    assert all(got[i]["kept"] for i in range(120)) and not any(got[i]["kept"] for i in range(120, 124))
+
+
+def test_dual_coordinate_descent_finds_the_optimum():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(12, 4, replace=False)) for _ in range(40)]
+    y = np.where([(3 in r) or (7 in r) for r in rows], 1.0, -1.0)
+    ratio, cost = np.zeros(op6_nbsvm.DIMS), np.full(40, 0.7)
+    ratio[:12] = rng.normal(size=12)
+    x = np.zeros((40, 13))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 12] = 1
+    w = np.zeros(13)
+    for _ in range(20_000):  # gradient steps on the primal
+        slack = np.maximum(0, 1 - y * (x @ w))
+        w -= 0.004 * (w - 2 * (cost * y * slack) @ x)
+    got = op6_nbsvm.dual_coordinate_descent(rows, y, ratio, cost, epochs=400)
+    assert np.r_[got[:12], got[op6_nbsvm.DIMS]] == pytest.approx(w, abs=1e-3)
 
 
 def test_large_model_scores_alike(spark, monkeypatch):
