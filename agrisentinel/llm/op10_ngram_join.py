@@ -182,22 +182,26 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _compared(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """Pairs (src, dst) with the exact verdict, dst's set size ``n`` and ``diff``:
-    the features that one of the two sets alone has, ``n_diff`` of them."""
+    the features that one of the two sets alone has, ``n_diff`` of them (stored)."""
     ids = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    ids = broadcast_if_small(materialise(ids, "op10-ids"), 40)
-    sets = docs.join(ids, "id", "left_semi").mapInArrow(_sets(shingle), "id long, features array<long>")
+    ids = materialise(ids, "op10-ids")
+    sets = docs.join(broadcast_if_small(ids, 40), "id", "left_semi").mapInArrow(_sets(shingle), "id long, features array<long>")
     sets = materialise(sets, "op10-sets")
+    release(ids)
     both = (pairs.join(sets.select(F.col("id").alias("dst"), F.col("features").alias("y")), "dst")
                  .join(sets.select(F.col("id").alias("src"), F.col("features").alias("x")), "src"))
     diff = both.select("src", "dst", F.size("y").alias("n"), F.size("x").alias("n_src"),
                        F.concat(F.array_except("y", "x"), F.array_except("x", "y")).alias("diff"))
     n_diff = F.size("diff")
-    return diff.select("src", "dst", "n", n_diff.alias("n_diff"), "diff",
-                       ((den + num) * n_diff <= (den - num) * (F.col("n") + F.col("n_src"))).alias("linked"))
+    compared = materialise(diff.select("src", "dst", "n", n_diff.alias("n_diff"), "diff",
+                                       ((den + num) * n_diff <= (den - num) * (F.col("n") + F.col("n_src"))).alias("linked")),
+                           "op10-compared")
+    release(sets)
+    return compared
 
 
 def _by_difference(compared: DataFrame, comp: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs still to try among the members v, w tried against one hub h.
+    """Pairs still to try among the members v, w tried against one hub h (stored).
 
     Let X be a member's difference from h and D its size.  The sets of v and w
     differ in ``|X_v ^ X_w| = D_v + D_w - 2 |X_v & X_w|`` features, at most
@@ -228,16 +232,20 @@ def _by_difference(compared: DataFrame, comp: DataFrame, num: int, den: int) ->
                      .where((F.col("lo") < F.col("hi"))
                             & (~F.col("home") | ((den + num) * (F.col("n_diff") - F.col("place") + 1) >= num * F.col("n_diff")))))
     common = materialise(common.select("src", "feature", "dst", "n", "n_diff", "of", "home", "place"), "op10-common")
+    release(feature)
     v, w = common.where("not home").alias("v"), common.alias("w")
     # twice the common differences that a link needs
     need = F.col("v.n_diff") + F.col("w.n_diff") - F.floor((den - num) * (F.col("v.n") + F.col("w.n")) / F.lit(den + num))
-    return (v.join(w, (F.col("v.src") == F.col("w.src")) & (F.col("v.feature") == F.col("w.feature"))
+    near = (v.join(w, (F.col("v.src") == F.col("w.src")) & (F.col("v.feature") == F.col("w.feature"))
                    & (F.col("v.of") != F.col("w.of"))
                    & (F.col("w.home") | (F.col("v.dst") < F.col("w.dst")))
                    & (2 * (F.col("v.n_diff") - F.col("v.place") + 1) >= need)
                    & (2 * (F.col("w.n_diff") - F.col("w.place") + 1) >= need))
              .select(F.least("v.dst", "w.dst").alias("src"), F.greatest("v.dst", "w.dst").alias("dst"))
              .distinct())
+    near = materialise(near, "op10-near")
+    release(common)
+    return near
 
 
 def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -266,24 +274,29 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # a linked pair shares spare + 1 signatures of the band, so its rarest common one
     # is left when each member forgoes its ``spare`` most frequent ones
     hottest = Window.partitionBy("signer").orderBy(F.desc("members"), "sig")
-    shared = (shared.join(spares, "signer").withColumn("rank", F.row_number().over(hottest)).where("rank > spare")
-                    .select("sig", F.shiftright("signer", 1).alias("id")).distinct())
-    shared = materialise(shared.withColumns({"members": F.count(F.lit(1)).over(by_sig)}).where("members > 1"), "op10-rare")
+    rare = (shared.join(spares, "signer").withColumn("rank", F.row_number().over(hottest)).where("rank > spare")
+                  .select("sig", F.shiftright("signer", 1).alias("id")).distinct())
+    rare = materialise(rare.withColumns({"members": F.count(F.lit(1)).over(by_sig)}).where("members > 1"), "op10-rare")
+    release(shared)
+    release(spares)
     # the hub of a signature is its member with the most company over all its signatures
-    company = shared.groupBy("id").agg(F.sum("members").alias("company"))
-    ranked = shared.join(company, "id").select(
+    company = rare.groupBy("id").agg(F.sum("members").alias("company"))
+    ranked = rare.join(company, "id").select(
         "sig", "id", F.struct("company", (-F.col("id")).alias("neg")).alias("rank"))
     hubs = ranked.groupBy("sig").agg((-F.max("rank")["neg"]).alias("hub"))
-    tried = materialise(shared.join(hubs, "sig").where("id != hub")
+    tried = materialise(rare.join(hubs, "sig").where("id != hub")
                               .select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct(), "op10-star")
-    star = materialise(_compared(tried, rows, shingle, num, den), "op10-compared")
-    nodes = shared.select("id").distinct()
-    links = star.where("linked").select("src", "dst")
+    nodes = materialise(rare.select("id").distinct(), "op10-nodes")
+    release(rare)
+    star = _compared(tried, rows, shingle, num, den)
+    links = materialise(star.where("linked").select("src", "dst"), "op10-links")
     comp = materialise(connected_components(nodes, links), "op10-comp")
     both_ways = tried.union(tried.select("dst", "src"))
-    rest = materialise(_by_difference(star, comp, num, den).join(both_ways, ["src", "dst"], "left_anti"), "op10-rest")
+    near = _by_difference(star, comp, num, den)
+    release(star)
+    rest = materialise(near.join(both_ways, ["src", "dst"], "left_anti"), "op10-rest")
     if rest.limit(1).count():
-        more = materialise(_compared(rest, rows, shingle, num, den).where("linked").select("src", "dst"), "op10-more")
+        more = _compared(rest, rows, shingle, num, den).where("linked").select("src", "dst")
         if more.limit(1).count():
             comp = materialise(connected_components(nodes, links.union(more)), "op10-comp")
     placed_class = (classes.join(comp.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
