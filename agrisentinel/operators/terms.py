@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import spark_stop_words
-from ..session import cut_lineage
+from ..session import cut_lineage, store
 from .common import top_k_per_group
 
+BROADCAST_IDS = 250_000
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -115,6 +116,28 @@ def doc_frequency(df: DataFrame, id_col: str = "doc_id", text: str = "text",
               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
+def vocabulary(df: DataFrame, id_col: str = "doc_id", text: str = "text", stop: Sequence[str] | None = None,
+               n_max: int = 2, min_df: int = 2) -> DataFrame:
+    """``term, df``: ids whose text holds the term, for terms of ``min_df`` ids or more.
+
+    Rows of one id (the null id too) count as one document.  Where an id has one
+    row, its distinct terms come from its own array and no (id, term) rows are
+    shuffled; only the rows of repeated ids meet by id.
+    """
+    repeated = store(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                       .select(F.col(id_col).alias("_again")), "repeated-ids")
+    n = repeated.count()
+    again = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    once = df.join(again, same, "left_anti") if n else df
+    terms = content_tokens(once, [id_col], text, stop).select(
+        F.explode(F.array_distinct(ngrams(F.col("_tok"), n_max))).alias("term"))
+    if n:
+        terms = terms.unionByName(doc_terms(df.join(again, same, "left_semi"), [id_col], text, stop, n_max)
+                                  .distinct().select("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+
+
 def keyphrases_tfidf(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                      k: int = 5, stop: Sequence[str] | None = None) -> DataFrame:
     """J15 twin: per document the k unigrams with highest count · ln(N/df),

@@ -33,10 +33,7 @@ def j5_tokenize(spark, sf):
 SELECT term, count(DISTINCT doc_id) AS df FROM ({Q.terms_cte('documents', 'doc_id')}) o
 GROUP BY term HAVING count(DISTINCT doc_id) >= 2""")
 def j5_vocab(spark, sf):
-    occ = TM.doc_terms(table(spark, sf, "documents"), ["doc_id"])
-    per_doc = occ.distinct()
-    return (per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                   .where(F.col("df") >= 2))
+    return TM.vocabulary(table(spark, sf, "documents"))
 
 
 COUNTS_SQL = f"""

@@ -1,11 +1,35 @@
 """What the term and pair operators shuffle and leave behind, against plain counting."""
 
+import collections
 import glob
 
+from pyspark.sql import functions as F
+
 from agrisentinel.llm import op10_ngram_join as J
+from agrisentinel.operators import terms as TM
 from agrisentinel.session import checkpoint_root
 
 
+def test_vocabulary_counts_ids_once(spark, monkeypatch):
+    texts = [(1, "red fox red fox"), (2, "red fox jumps"), (3, "blue whale"), (3, "blue fox"), (3, "blue whale"),
+             (None, "lonely whale"), (None, "lonely fox"), (4, None), (5, "")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    want = collections.Counter()
+    for i in {t[0] for t in texts}:
+        held = set()
+        for t in (t.split() for j, t in texts if j == i and t):
+            held |= set(t) | {" ".join(p) for p in zip(t, t[1:])}
+        want.update(held)
+    want = {t: n for t, n in want.items() if n >= 2}
+    for limit in (TM.BROADCAST_IDS, 0):     # repeated ids met by shuffle, too
+        monkeypatch.setattr(TM, "BROADCAST_IDS", limit)
+        assert {r.term: r["df"] for r in TM.vocabulary(d).collect()} == want
+    unique = d.where("doc_id < 3")
+    plan = TM.vocabulary(unique)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(doc_id" not in plan
+    assert {r.term: r["df"] for r in TM.vocabulary(unique).collect()} == {"red": 2, "fox": 2, "red fox": 2}
+
+
 def test_near_duplicates_release_what_is_read_no_more(spark):
     base = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(base[:30] + [f"x{i}"] + base[31:])) for i in range(6)] + [(9, "something else entirely here now")]
