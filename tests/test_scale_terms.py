@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from agrisentinel.llm import op10_ngram_join as J
 from agrisentinel.operators import terms as TM
+from agrisentinel.operators import words as W
 from agrisentinel.session import checkpoint_root
 
 
@@ -40,3 +41,15 @@ def test_near_duplicates_release_what_is_read_no_more(spark):
     assert {r.id: r.component_id for r in found.collect()} == {**{i: 0 for i in range(6)}, 9: 9}
     left = {g.removeprefix(at).rsplit("-", 1)[0] for g in set(glob.glob(at + "*")) - before}
     assert not left & {"scan", "shared", "spares", "rare", "ids", "sets", "features", "common"}
+
+
+def test_training_uses_the_cores(spark, monkeypatch):
+    d = spark.createDataFrame([(i, ["red", "fox", "blue", "whale"]) for i in range(40)], "doc_id long, tokens array<string>")
+    asked = []
+    word2vec = W.Word2Vec
+    monkeypatch.setattr(W, "Word2Vec", lambda **k: asked.append(k["numPartitions"]) or word2vec(**k))
+    monkeypatch.setattr(W, "LEAST_PARTITIONS", 7)
+    assert W.train(d, size=4).words == ["blue", "fox", "red", "whale"]
+    monkeypatch.setattr(W, "LEAST_PARTITIONS", 1)
+    W.train(d, size=4)
+    assert asked == [7, spark.sparkContext.defaultParallelism]
