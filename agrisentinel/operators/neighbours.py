@@ -49,7 +49,7 @@ LEAF = 4096
 WIDEST = 1 << 16
 DEPTH = 10      # levels fitted on the sample
 CHECKED = 256
-BLOCK = 1024
+CELLS = 1 << 21  # distances that a task holds at a time
 
 
 def matrix(column, width: int) -> np.ndarray:
@@ -95,10 +95,11 @@ def nearest(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray,
     """Best k of ``x`` for each of ``q`` (ties by id): query places, places in x, distances."""
     out = []
     half = (x * x).sum(axis=1) / 2
-    for at in range(0, len(q), BLOCK):
-        part = q[at: at + BLOCK]
+    block = max(1, CELLS // max(len(x), 1))
+    for at in range(0, len(q), block):
+        part = q[at: at + block]
         closeness = part @ x.T - half  # falls with the distance
-        closeness[q_row[at: at + BLOCK][:, None] == x_row[None, :]] = -np.inf
+        closeness[q_row[at: at + block][:, None] == x_row[None, :]] = -np.inf
         n = min(k, len(x))
         kth = np.partition(closeness, len(x) - n, axis=1)[:, len(x) - n]
         kth = np.where(np.isneginf(kth), -np.inf, kth - 1e-9 * (1 + np.abs(kth)))

@@ -9,6 +9,8 @@ eigenmaps), found by a restarted block Krylov iteration.
   sparse edge table with partial sums, and keeps each product.  From their inner
   products alone (a few hundred numbers, summed in one pass) follow the best vectors
   in the space that all of them span; those are the next round's block.
+* Vectors are as long as the table, so joins with them are never broadcasts: a round
+  would send every one of them through the driver.
 * It ends when no wanted Rayleigh quotient grows by more than ``tolerance``; they grow
   towards bounds, so it always ends.
 
@@ -37,13 +39,13 @@ def graph_edges(graph: DataFrame) -> DataFrame:
     pairs = graph.select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b")).where("a != b").distinct()
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
     degree = both.groupBy("u").agg(F.count(F.lit(1)).cast("double").alias("d"))
-    joined = both.join(degree, "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")), "v")
+    joined = both.join(degree.hint("merge"), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("e")).hint("merge"), "v")
     return store(joined.select("u", "v", (1 / F.sqrt(F.col("d") * F.col("e"))).alias("s"), "d"), "spectral-edges")
 
 
 def _multiply(edges: DataFrame, block: DataFrame, width: int) -> DataFrame:
     """``row, y`` of S times the block; every row has an edge."""
-    met = edges.join(block.select(F.col("row").alias("v"), "y"), "v")
+    met = edges.join(block.select(F.col("row").alias("v"), "y").hint("merge"), "v")
     sums = met.groupBy(F.col("u").alias("row")).agg(*[F.sum(F.col("s") * F.col("y")[i]).alias(f"y{i}") for i in range(width)])
     return sums.select("row", F.array(*[F.col(f"y{i}") for i in range(width)]).alias("z"))
 
@@ -98,14 +100,14 @@ def spectral_coordinates(graph: DataFrame, nodes: DataFrame, dims: int, toleranc
     block, before = weight.select("row", start.alias("y")), None
     while True:
         # without the trivial vector t, which products bring back only by rounding
-        flat = block.join(weight.select("row", "t"), "row")
+        flat = block.join(weight.select("row", "t").hint("merge"), "row")
         share = flat.agg(*[F.sum(F.col("t") * F.col("y")[i]) for i in range(width)]).first()
         block = store(flat.select("row", F.array(*[F.col("y")[i] - F.lit(float(share[i] or 0.0)) * F.col("t") for i in range(width)])
                                   .alias("y")), "spectral-block")
         rows, last = block.select("row", F.col("y").alias("all")), block
         for _ in range(STEPS):
             last = store(_multiply(edges, last, width).withColumnRenamed("z", "y"), "spectral-product")
-            rows = rows.join(last, "row").select("row", F.concat("all", "y").alias("all"))
+            rows = rows.join(last.hint("merge"), "row").select("row", F.concat("all", "y").alias("all"))
         rows = store(rows, "spectral-space")
         g, held = _products(rows, width * (STEPS + 1)), width * STEPS
         quotients, best = _best(g[:held, :held], g[:held, width: width + held], width)
@@ -119,9 +121,9 @@ def spectral_coordinates(graph: DataFrame, nodes: DataFrame, dims: int, toleranc
     if turn.shape[1] < dims:
         turn = np.hstack([turn, np.zeros((width, dims - turn.shape[1]))])
     # per unit of degree, so that a row lies at the mean of its neighbours
-    found = (_combined(block.select("row", F.col("y").alias("all")), turn).join(weight.select("row", "d"), "row")
+    found = (_combined(block.select("row", F.col("y").alias("all")), turn).join(weight.select("row", "d").hint("merge"), "row")
              .select("row", F.transform("y", lambda y: y / F.sqrt("d") * F.lit(float(np.sqrt(total)))).alias("coords")))
-    return nodes.select("row").join(found, "row", "left").select("row", F.coalesce("coords", none).alias("coords"))
+    return nodes.select("row").join(found.hint("merge"), "row", "left").select("row", F.coalesce("coords", none).alias("coords"))
 
 
 def preservation(graph: DataFrame, reduced: DataFrame) -> DataFrame:

@@ -101,6 +101,19 @@ def test_leaves_are_split_until_they_are_small(spark, monkeypatch):
     assert all(got[i][0][0] == 0.0 for i in range(1000, 1200))
 
 
+def test_distances_are_held_in_bounded_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, x = rng.normal(size=(50, 4)), rng.normal(size=(400, 4))
+    asked = (q, -1 - np.arange(50), x, np.arange(400), np.arange(400), 5, "euclidean")
+    whole = NB.nearest(*asked)
+    held, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *rest, **kw: held.append(a.size) or partition(a, *rest, **kw))
+    monkeypatch.setattr(NB, "CELLS", 2000)
+    for got, want in zip(NB.nearest(*asked), whole):
+        assert np.array_equal(got, want)
+    assert max(held) <= 2000 and sum(held) == 50 * 400
+
+
 def test_odd_rows(spark):
     rows = vectors(6, 50, d=4)
     same = rows[3][1]
