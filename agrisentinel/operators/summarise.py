@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import top_k_per_group
 from .terms import drop_stop_words, tokens
 
 SENTENCE_PATTERN = r"[^.!?]+[.!?]*"
@@ -42,6 +41,11 @@ def chunk_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text",
     return df.select(id_col, F.posexplode(chunks(text, max_tokens)).alias("chunk_idx", "chunk"))
 
 
+def chunk_count(text: Column | str, max_tokens: int = 4096) -> Column:
+    """Number of ``chunks`` of a text (a null text has none), without building them."""
+    return F.coalesce(F.greatest(F.ceil(F.size(whitespace_tokens(text)) / max_tokens), F.lit(0)), F.lit(0))
+
+
 def idf_table(corpus: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``term, idf = ln(N / df)`` over the corpus (stop words removed)."""
     n_docs = corpus.select(F.count(F.lit(1))).scalar()
@@ -58,21 +62,29 @@ def extractive_summaries(df: DataFrame, corpus: DataFrame | None = None, id_col:
     from ..plans.rounding import fround
     corpus = corpus if corpus is not None else df
     idf = idf_table(corpus, id_col, text)
-    ch = chunk_rows(df.where(F.trim(F.col(text)) != ""), id_col, text, max_tokens)
-    sents = ch.select(id_col, "chunk_idx", F.posexplode(
-        F.regexp_extract_all("chunk", F.lit(SENTENCE_PATTERN), 0)).alias("sent_idx", "sentence"))
-    sents = sents.withColumn("sentence", F.trim("sentence"))
+    # no summary reaches a null id, so its rows need not meet
+    ch = chunk_rows(df.where((F.trim(F.col(text)) != "") & F.col(id_col).isNotNull()), id_col, text, max_tokens)
+    ch = ch.select(id_col, "chunk_idx", F.transform(
+        F.regexp_extract_all("chunk", F.lit(SENTENCE_PATTERN), 0), lambda x: F.trim(x)).alias("sentences"))
+    # texts cross one shuffle, by chunk; terms and scores travel with keys alone
+    sents = ch.select(id_col, "chunk_idx", F.posexplode("sentences").alias("sent_idx", "sentence"))
     occ = sents.select(id_col, "chunk_idx", "sent_idx",
                        F.explode(drop_stop_words(tokens("sentence"))).alias("term"))
-    scores = (occ.join(idf, "term").groupBy(id_col, "chunk_idx", "sent_idx")
-                 .agg(F.avg("idf").alias("score")))
-    scored = (sents.join(scores, [id_col, "chunk_idx", "sent_idx"], "left")
-                   .withColumn("score", fround(F.coalesce("score", F.lit(0.0)), 8)))
-    best = top_k_per_group(scored, [id_col, "chunk_idx"], [F.desc("score"), F.asc("sent_idx")],
-                           max_sentences, salt_key=[id_col, "chunk_idx", "sent_idx"])
-    per_chunk = best.groupBy(id_col, "chunk_idx").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))), lambda s: s["sentence"]),
-        " ").alias("chunk_summary"))
+    words = occ.join(idf, "term").select(id_col, "chunk_idx", "sent_idx", "idf")
+    # every sentence has a row, so that a score's place in the list is its sentence's
+    scores = (words.unionByName(sents.select(id_col, "chunk_idx", "sent_idx", F.lit(None).cast("double").alias("idf")))
+                   .groupBy(id_col, "chunk_idx", "sent_idx").agg(F.avg("idf").alias("score"))
+                   .groupBy(id_col, "chunk_idx").agg(F.transform(
+                       F.array_sort(F.collect_list(F.struct("sent_idx", fround(F.coalesce("score", F.lit(0.0)), 8).alias("score")))),
+                       lambda s: s["score"]).alias("scores")))
+    ranked = F.array_sort(F.transform("sentences", lambda x, i: F.struct(
+        (-F.element_at("scores", i + 1)).alias("by"), i.alias("sent_idx"), x.alias("sentence"))))
+    # chunks of one id and number (repeated ids) share the places
+    best = (ch.join(scores, [id_col, "chunk_idx"])
+              .select(id_col, "chunk_idx", F.slice(ranked, 1, max_sentences).alias("best"))
+              .groupBy(id_col, "chunk_idx").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, max_sentences).alias("best")))
+    per_chunk = best.select(id_col, "chunk_idx", F.array_join(F.transform(F.array_sort(F.transform(
+        "best", lambda s: F.struct(s["sent_idx"], s["sentence"]))), lambda s: s["sentence"]), " ").alias("chunk_summary"))
     per_doc = per_chunk.groupBy(id_col).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("chunk_idx", "chunk_summary"))),
         lambda s: s["chunk_summary"]), " ").alias("summary"))

@@ -273,8 +273,8 @@ multi AS (SELECT doc_id FROM ({_chunks_sql(SMALL_CHUNK)}) c GROUP BY doc_id HAVI
 SELECT doc_id, summary FROM s WHERE doc_id IN (SELECT doc_id FROM multi)""")
 def i10_recombine(spark, sf):
     d = table(spark, sf, "documents")
-    multi = (SU.chunk_rows(d, max_tokens=SMALL_CHUNK).groupBy("doc_id").count()
-               .where(F.col("count") > 1).select("doc_id"))
+    multi = (d.groupBy("doc_id").agg(F.sum(SU.chunk_count("text", SMALL_CHUNK)).alias("n"))
+              .where(F.col("n") > 1).select("doc_id"))
     return SU.extractive_summaries(d, max_tokens=SMALL_CHUNK).join(multi, "doc_id", "left_semi")
 
 

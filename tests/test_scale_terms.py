@@ -2,10 +2,14 @@
 
 import collections
 import glob
+import math
+import random
+import re
 
 from pyspark.sql import functions as F
 
 from agrisentinel.llm import op10_ngram_join as J
+from agrisentinel.operators import summarise as SU
 from agrisentinel.operators import terms as TM
 from agrisentinel.operators import words as W
 from agrisentinel.session import checkpoint_root
@@ -31,6 +35,41 @@ def test_vocabulary_counts_ids_once(spark, monkeypatch):
     assert {r.term: r["df"] for r in TM.vocabulary(unique).collect()} == {"red": 2, "fox": 2, "red fox": 2}
 
 
+def test_summaries_move_texts_once(spark):
+    rng = random.Random(5)
+    names = [f"word{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(names) for _ in range(n))
+    texts = [(i, ". ".join(say(rng.randint(1, 6)) for _ in range(12)) + ".") for i in range(30)]
+    texts += [(40, "  "), (41, None), (42, "..."), (43, "the and. of the."), (None, "word1 word2. word3."),
+              (50, "word1. word2 word3. word4."), (50, "word5 word6. word7."), (51, "a  b\tc")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    held = [set(re.findall(r"word\d+", t or "")) for _, t in texts]
+    idf = {w: math.log(len(texts) / sum(w in h for h in held)) for w in set().union(*held)}
+    want, per_text = {}, {}
+    for i, t in texts:
+        if t and t.strip(" ") and i is not None:
+            tok = t.strip(" ").split()
+            for c, piece in enumerate([t] if len(tok) <= 20 else [" ".join(tok[at: at + 20]) for at in range(0, len(tok), 20)]):
+                for n, x in enumerate(re.findall(r"[^.!?]+[.!?]*", piece)):
+                    per_text.setdefault(i, {}).setdefault(c, []).append((n, x.strip(" ")))
+    for i, pieces in per_text.items():
+        said = []
+        for c in sorted(pieces):
+            by = {}     # sentences of one id, chunk and place share a score
+            for n, x in pieces[c]:
+                by.setdefault(n, []).extend(idf[w] for w in re.findall(r"word\d+", x))
+            best = sorted((-round(sum(by[n]) / len(by[n]), 8) if by[n] else 0.0, n, x) for n, x in pieces[c])[:3]
+            said.append(" ".join(x for _, n, x in sorted(best, key=lambda b: b[1:])))
+        want[i] = " ".join(said)
+    found = SU.extractive_summaries(d, max_tokens=20, max_sentences=3)
+    got = collections.Counter((r.doc_id, r.summary) for r in found.collect())
+    assert got == collections.Counter((i, want.get(i, "")) for i, _ in texts)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    chunks = collections.Counter(r.doc_id for r in SU.chunk_rows(d, max_tokens=20).collect())
+    counted = d.groupBy("doc_id").agg(F.sum(SU.chunk_count("text", 20)).alias("n")).collect()
+    assert {r.doc_id: r.n for r in counted if r.n} == chunks
+
+
 def test_near_duplicates_release_what_is_read_no_more(spark):
     base = [f"w{i}" for i in range(60)]
     docs = [(i, " ".join(base[:30] + [f"x{i}"] + base[31:])) for i in range(6)] + [(9, "something else entirely here now")]
