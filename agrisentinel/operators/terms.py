@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import spark_stop_words
@@ -18,6 +18,7 @@ from ..session import cut_lineage, store
 from .common import top_k_per_group
 
 BROADCAST_IDS = 250_000
+COMMON_TERMS = 50_000
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -116,6 +117,18 @@ def doc_frequency(df: DataFrame, id_col: str = "doc_id", text: str = "text",
               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
+def _by_repeats(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id occurs once, and those of repeated ids (the null id too), if any."""
+    repeated = store(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                       .select(F.col(id_col).alias("_again")), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return df, None
+    again = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    same = F.col(id_col).eqNullSafe(F.col("_again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 def vocabulary(df: DataFrame, id_col: str = "doc_id", text: str = "text", stop: Sequence[str] | None = None,
                n_max: int = 2, min_df: int = 2) -> DataFrame:
     """``term, df``: ids whose text holds the term, for terms of ``min_df`` ids or more.
@@ -124,33 +137,54 @@ def vocabulary(df: DataFrame, id_col: str = "doc_id", text: str = "text", stop:
     row, its distinct terms come from its own array and no (id, term) rows are
     shuffled; only the rows of repeated ids meet by id.
     """
-    repeated = store(df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-                       .select(F.col(id_col).alias("_again")), "repeated-ids")
-    n = repeated.count()
-    again = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-    same = F.col(id_col).eqNullSafe(F.col("_again"))
-    once = df.join(again, same, "left_anti") if n else df
+    return _vocabulary(*_by_repeats(df, id_col), id_col, text, stop, n_max, min_df)
+
+
+def _vocabulary(once: DataFrame, again: DataFrame | None, id_col: str, text: str, stop: Sequence[str] | None,
+                n_max: int, min_df: int) -> DataFrame:
     terms = content_tokens(once, [id_col], text, stop).select(
         F.explode(F.array_distinct(ngrams(F.col("_tok"), n_max))).alias("term"))
-    if n:
-        terms = terms.unionByName(doc_terms(df.join(again, same, "left_semi"), [id_col], text, stop, n_max)
-                                  .distinct().select("term"))
+    if again is not None:
+        terms = terms.unionByName(doc_terms(again, [id_col], text, stop, n_max).distinct().select("term"))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
 
 
+def _term_frequency(once: DataFrame, again: DataFrame | None, id_col: str, text: str,
+                    stop: Sequence[str] | None) -> DataFrame:
+    """``id_col, term, tf``; a row whose id occurs once counts its own sorted array."""
+    t = content_tokens(once, [id_col], text, stop).select(id_col, F.array_sort("_tok").alias("_tok"))
+    first = F.filter("_tok", lambda x, i: (i == 0) | (F.get("_tok", i - 1) != x))
+    starts = F.filter(F.transform("_tok", lambda x, i: F.when((i == 0) | (F.get("_tok", i - 1) != x), i)), lambda i: i.isNotNull())
+    t = t.select(id_col, F.size("_tok").alias("_n"), first.alias("_first"), starts.alias("_at"))
+    tf = t.select(id_col, F.explode(F.transform("_first", lambda x, i: F.struct(
+        x.alias("term"), (F.coalesce(F.get("_at", i + 1), "_n") - F.get("_at", i)).cast("long").alias("tf")))).alias("_t")
+                  ).select(id_col, "_t.term", "_t.tf")
+    if again is not None:
+        tf = tf.unionByName(doc_terms(again, [id_col], text, stop, 1).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return tf
+
+
 def keyphrases_tfidf(df: DataFrame, id_col: str = "doc_id", text: str = "text",
                      k: int = 5, stop: Sequence[str] | None = None) -> DataFrame:
     """J15 twin: per document the k unigrams with highest count · ln(N/df),
-    joined by ``"; "`` in rank order."""
+    joined by ``"; "`` in rank order.
+
+    The frequencies of the ``COMMON_TERMS`` most frequent terms are sent to every
+    task, which scores their occurrences in place; the other occurrences meet
+    their term's frequency by a shuffle.  Before documents are put together each
+    task keeps its best k of a document.
+    """
     from ..plans.rounding import fround
     n_docs = df.select(F.count(F.lit(1))).scalar()
-    occ = df.select(id_col, F.explode(drop_stop_words(tokens(text), stop)).alias("term"))
-    tf = occ.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
-    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = (tf.join(dfreq, "term")
-                .withColumn("score", fround(F.col("tf") * F.log(n_docs / F.col("df")), 8)))
-    top = top_k_per_group(scored, [id_col], [F.desc("score"), F.asc("term")], k,
-                          salt_key=[id_col, "term"])
+    parts = _by_repeats(df, id_col)
+    dfreq = store(_vocabulary(*parts, id_col, text, stop, 1, 1), "term-df")
+    common = store(dfreq.orderBy(F.desc("df"), "term").limit(COMMON_TERMS), "common-df")
+    tf = _term_frequency(*parts, id_col, text, stop)
+    met = tf.join(F.broadcast(common), "term")
+    rest = tf.join(F.broadcast(common), "term", "left_anti").join(dfreq.join(common, "term", "left_anti"), "term")
+    scored = met.unionByName(rest).select(id_col, "term", fround(F.col("tf") * F.log(n_docs / F.col("df")), 8).alias("score"))
+    order = Window.partitionBy(id_col).orderBy(F.desc("score"), F.asc("term"))
+    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return (top.groupBy(id_col)
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
                                              lambda s: s["term"]), "; ").alias("keyphrases")))

@@ -35,6 +35,25 @@ def test_vocabulary_counts_ids_once(spark, monkeypatch):
     assert {r.term: r["df"] for r in TM.vocabulary(unique).collect()} == {"red": 2, "fox": 2, "red fox": 2}
 
 
+def test_keyphrases_count_in_place(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"t{int(rng.paretovariate(0.7)) % 60}x" for _ in range(rng.randint(0, 25)))) for i in range(40)]
+    texts += [(50, "aa bb aa"), (50, "aa cc"), (51, None), (52, ""), (None, "aa dd"), (None, "dd ee t1x"), (53, "solo")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    tf = collections.defaultdict(collections.Counter)
+    for i, t in texts:
+        tf[i].update((t or "").split())
+    df = collections.Counter(w for c in tf.values() for w in c)
+    best = {i: sorted((-math.floor(n * math.log(len(texts) / df[w]) * 1e8 + 0.5), w) for w, n in c.items())[:5] for i, c in tf.items()}
+    want = {i: "; ".join(w for _, w in b) for i, b in best.items() if b}
+    for common in (TM.COMMON_TERMS, 3):     # most frequencies sent to the tasks, or met by shuffle
+        monkeypatch.setattr(TM, "COMMON_TERMS", common)
+        assert {r.doc_id: r.keyphrases for r in TM.keyphrases_tfidf(d).collect()} == want
+    plan = TM.keyphrases_tfidf(d.where("doc_id < 50"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L, (term|_salt)", plan)
+    assert "WindowGroupLimit" in plan
+
+
 def test_summaries_move_texts_once(spark):
     rng = random.Random(5)
     names = [f"word{i}" for i in range(40)]
