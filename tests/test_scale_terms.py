@@ -111,3 +111,26 @@ def test_training_uses_the_cores(spark, monkeypatch):
     monkeypatch.setattr(W, "LEAST_PARTITIONS", 1)
     W.train(d, size=4)
     assert asked == [7, spark.sparkContext.defaultParallelism]
+
+
+def test_pairs_are_counted_by_code_in_their_task(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [(i % 30, " ".join(f"t{int(rng.paretovariate(0.8)) % 40}x" for _ in range(rng.randint(0, 30)))) for i in range(45)]
+    texts += [(50, None), (51, ""), (52, "solo"), (53, "t1x t1x t1x"), (None, "t2x the t3x"), (54, "zz t1x once")]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [[w for w in (t or "").split() if w != "the"] for _, t in texts]
+    df = collections.Counter(w for r in rows for w in set(r))
+    want = collections.Counter(p for r in rows for p in {
+        tuple(sorted((x, y))) for i, x in enumerate(r) for y in r[i + 1: i + 4] if x != y and min(df[x], df[y]) >= 2})
+    found = TM.cooccurrence(d, window=3)
+    assert found.dtypes == [("term_a", "string"), ("term_b", "string"), ("n_docs", "bigint")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(a#\d+L, b#\d+L", plan)
+    assert {(r.term_a, r.term_b): r.n_docs for r in found.collect()} == want
+    # slices of few tokens; a first seed under which terms share a code
+    monkeypatch.setattr(TM, "SLICE", 20)
+    code, seeds = TM._code, set()
+    monkeypatch.setattr(TM, "_code", lambda t, seed: seeds.add(seed) or (
+        F.length(t).cast("long") if seed == 0 else code(t, seed)))
+    got = TM.cooccurrence(d, window=3).collect()
+    assert len(got) == len(want) and {(r.term_a, r.term_b): r.n_docs for r in got} == want and seeds == {0, 1}
