@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import store
 from .common import dense_order_ids, top_k_per_group
 
 
@@ -285,7 +286,7 @@ def time_bins(assign: DataFrame, ts: str = "ts", nr_bins: int = 40) -> DataFrame
     return x.withColumn("bin", b.cast("int")).withColumn("bin_start", start).drop("_x")
 
 
-def topics_over_time(assign: DataFrame, scores: DataFrame, vocab_counts_fn,
+def topics_over_time(assign: DataFrame, scores: DataFrame, counts_fn,
                      nr_bins: int = 40, top_n: int = 5, global_tuning: bool = True,
                      evolution_tuning: bool = True, topic: str = "topic") -> DataFrame:
     """J13 words per (topic, bin): c-TF-IDF of the bin's documents with the
@@ -295,41 +296,43 @@ def topics_over_time(assign: DataFrame, scores: DataFrame, vocab_counts_fn,
     Only terms present in the bin or its predecessor can beat the topic's
     global top words among absent ones, so candidates are those plus the
     global top ``top_n`` — an exact reduction of the dense (term × bin) frame.
-    ``vocab_counts_fn(df, cls_cols)`` returns ``(*cls_cols, term, n)``.
+    ``counts_fn(df, cls_cols)`` returns ``(*cls_cols, term, n)``; terms without a
+    score have no part.  The scored terms of a bin cross one shuffle, by topic and
+    term, where each row also stands for the topic's next bin; the tables of
+    topics and bins are small.
     """
+    from ..plans.rounding import fround
     binned = time_bins(assign, nr_bins=nr_bins)
-    freq = binned.groupBy(topic, "bin", "bin_start").agg(F.count(F.lit(1)).alias("frequency"))
-    counts = vocab_counts_fn(binned, [topic, "bin"])
-    idf = scores.select("term", "idf").distinct()
-    glob = scores.select(topic, "term", F.col("score").alias("g"))
+    freq = store(binned.groupBy(topic, "bin", "bin_start").agg(F.count(F.lit(1)).alias("frequency")), "over-time-bins")
+    scores = store(scores.select(topic, "term", "score", "idf"), "over-time-scores")
+    counts = store(counts_fn(binned, [topic, "bin"]).join(scores.select("term", "idf").distinct(), "term"), "over-time-counts")
     blen = counts.groupBy(topic, "bin").agg(F.sum("n").alias("_len"))
-    sb = (counts.join(blen, [topic, "bin"]).join(idf, "term")
-                .select(topic, "bin", "term", (F.col("n") / F.col("_len") * F.col("idf")).alias("s")))
-    bins_of_topic = freq.select(topic, "bin")
     w = Window.partitionBy(topic).orderBy("bin")
-    prev = bins_of_topic.withColumn("prev_bin", F.lag("bin").over(w))
-    if evolution_tuning:
-        cur = sb.join(prev, [topic, "bin"])
-        prv = (sb.select(topic, F.col("bin").alias("prev_bin"), "term", F.col("s").alias("sp"))
-                 .join(prev.where(F.col("prev_bin").isNotNull()), [topic, "prev_bin"]))
-        both = cur.join(prv.select(topic, "bin", "term", "sp"), [topic, "bin", "term"], "full")
-        both = both.join(prev.select(topic, "bin", F.col("prev_bin").alias("_pb")), [topic, "bin"])
-        s_evo = F.when(F.col("_pb").isNull(), F.coalesce("s", F.lit(0.0))).otherwise(
-            (F.coalesce("s", F.lit(0.0)) + F.coalesce("sp", F.lit(0.0))) / 2)
-        sb = both.select(topic, "bin", "term", s_evo.alias("s"))
+    around = freq.select(topic, "bin", F.lag("bin").over(w).isNotNull().alias("_late"), F.lead("bin").over(w).alias("_next"))
+    sb = (counts.join(blen, [topic, "bin"]).join(around, [topic, "bin"])
+                .select(topic, "bin", "term", (F.col("n") / F.col("_len") * F.col("idf")).alias("s"), "_late", "_next"))
+    glob = scores.select(topic, "term", F.col("score").alias("g"))
     if global_tuning:
-        from ..plans.rounding import fround as _fr
-        gtop = top_k_per_group(glob.withColumn("_gr", _fr("g", 10)), [topic],
+        gtop = top_k_per_group(glob.withColumn("_gr", fround("g", 10)), [topic],
                                [F.desc("_gr"), F.asc("term")], top_n,
                                salt_key=[topic, "term"]).select(topic, "term")
-        extra = bins_of_topic.join(gtop, topic).withColumn("s", F.lit(0.0))
-        cand = (sb.unionByName(extra.select(topic, "bin", "term", "s"))
-                  .groupBy(topic, "bin", "term").agg(F.max("s").alias("s")))
-        sb = (cand.join(glob, [topic, "term"], "left")
-                  .select(topic, "bin", "term",
-                          ((F.col("s") + F.coalesce("g", F.lit(0.0))) / 2).alias("s")))
-    from ..plans.rounding import fround
-    ranked = top_k_per_group(sb.withColumn("s", fround("s", 10)), [topic, "bin"],
-                             [F.desc("s"), F.asc("term")], top_n, salt_key=[topic, "bin", "term"])
+        sb = sb.unionByName(around.join(gtop, topic).select(
+            topic, "bin", "term", F.lit(0.0).alias("s"), "_late", F.lit(None).cast("int").alias("_next")))
+    sb = sb.repartition(topic, "term")
+    if evolution_tuning:
+        own = F.struct("bin", "s", F.lit(0.0).alias("sp"), "_late")
+        following = F.struct(F.col("_next").alias("bin"), F.lit(0.0).alias("s"), F.col("s").alias("sp"), F.lit(True).alias("_late"))
+        sb = (sb.select(topic, "term", F.explode(F.when(F.col("_next").isNull(), F.array(own)).otherwise(F.array(own, following))).alias("_r"))
+                .groupBy(topic, "term", F.col("_r.bin").alias("bin"))
+                .agg(F.sum("_r.s").alias("s"), F.sum("_r.sp").alias("sp"), F.max("_r._late").alias("_late"))
+                .withColumn("s", F.when(F.col("_late"), (F.col("s") + F.col("sp")) / 2).otherwise(F.col("s"))))
+    else:
+        sb = sb.groupBy(topic, "term", "bin").agg(F.sum("s").alias("s"))
+    if global_tuning:
+        sb = sb.join(glob, [topic, "term"], "left").withColumn("s", (F.col("s") + F.coalesce("g", F.lit(0.0))) / 2)
+    # tasks keep their best of each bin before bins are put together
+    best = Window.partitionBy(topic, "bin").orderBy(F.desc("s"), F.asc("term"))
+    ranked = (sb.select(topic, "bin", "term", fround("s", 10).alias("s"))
+                .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n))
     words = ordered_join(ranked, [topic, "bin"], "rank", "term", ", ", "words")
     return freq.join(words, [topic, "bin"], "left")

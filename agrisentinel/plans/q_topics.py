@@ -354,12 +354,8 @@ def f6_smoothing(spark, sf):
                     fround((F.col("frequency") + prev) / 2.0).alias("smoothed"))
 
 
-def _bin_counts_fn(vocab):
-    def fn(binned, cls_cols):
-        occ = TM.doc_terms(binned, cls_cols)
-        return (occ.join(vocab, "term", "left_semi")
-                   .groupBy(*cls_cols, "term").agg(F.count(F.lit(1)).alias("n")))
-    return fn
+def _bin_counts(binned, cls_cols):
+    return TM.doc_terms(binned, cls_cols).groupBy(*cls_cols, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 GSCORE = """
@@ -409,9 +405,7 @@ FROM freq f LEFT JOIN words w ON w.topic = f.topic AND w.bin = f.bin"""
                                           extra={"counts": COUNTS_SQL, "gscore": GSCORE,
                                                  "binned": BINS_SQL}))
 def j13_over_time(spark, sf):
-    scores = _scores(spark, sf)
-    vocab = scores.select("term").distinct()
-    out = TP.topics_over_time(_assign(spark, sf), scores, _bin_counts_fn(vocab), NR_BINS)
+    out = TP.topics_over_time(_assign(spark, sf), _scores(spark, sf), _bin_counts, NR_BINS)
     return out.select("topic", "bin", fround("bin_start", 3).alias("bin_start"), "frequency", "words")
 
 

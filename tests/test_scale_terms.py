@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from agrisentinel.llm import op10_ngram_join as J
 from agrisentinel.operators import summarise as SU
 from agrisentinel.operators import terms as TM
+from agrisentinel.operators import topics as TP
 from agrisentinel.operators import words as W
+from agrisentinel.plans.q_topics import _bin_counts
 from agrisentinel.session import checkpoint_root
 
 
@@ -134,3 +136,31 @@ def test_pairs_are_counted_by_code_in_their_task(spark, monkeypatch):
         F.length(t).cast("long") if seed == 0 else code(t, seed)))
     got = TM.cooccurrence(d, window=3).collect()
     assert len(got) == len(want) and {(r.term_a, r.term_b): r.n_docs for r in got} == want and seeds == {0, 1}
+
+
+def test_topics_over_time_smooth_in_one_shuffle(spark):
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 2), " ".join(rng.choice("alpha beta gamma delta omega sigma".split()) for _ in range(rng.randint(1, 5))),
+             f"2024-01-{rng.randint(1, 20):02d} 00:00:00") for _ in range(30)] + [(0, None, "2024-01-02 00:00:00")]
+    score = {(t, w): (rng.randint(1, 64) / 64, 1 + ord(w[0]) / 128) for t in range(3) for w in ("alpha", "beta", "gamma", "delta")}
+    d = spark.createDataFrame(rows, "topic int, text string, ts string")
+    scores = spark.createDataFrame([(t, w, g, f) for (t, w), (g, f) in score.items()], "topic int, term string, score double, idf double")
+    days = [int(ts[8:10]) for _, _, ts in rows]
+    width = (max(days) - min(days)) / 6
+    at = [min(max(math.ceil((x - min(days)) / width) - 1, 0), 5) for x in days]
+    n, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for (t, text, _), b in zip(rows, at):
+        docs[t, b] += 1
+        n[t, b].update(w for w in (text or "").split() if (t, w) in score)
+    want = {}
+    for t, b in docs:
+        before = max((x for y, x in docs if y == t and x < b), default=None)
+        part = lambda x, w: n[t, x][w] / sum(n[t, x].values()) * score[t, w][1] if n[t, x][w] else 0.0
+        top = sorted((w for y, w in score if y == t), key=lambda w: (-score[t, w][0], w))[:2]
+        words = {*n[t, b], *top, *(n[t, before] if before is not None else ())}
+        final = {w: ((part(b, w) if before is None else (part(b, w) + part(before, w)) / 2) + score[t, w][0]) / 2 for w in words}
+        want[t, b] = (docs[t, b], ", ".join(sorted(final, key=lambda w: (-math.floor(final[w] * 1e10 + 0.5), w))[:2]))
+    found = TP.topics_over_time(d, scores, _bin_counts, nr_bins=6, top_n=2)
+    assert {(r.topic, r.bin): (r.frequency, r.words) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan and "_salt" not in plan.split("WindowGroupLimit")[0]
