@@ -138,6 +138,30 @@ def test_pairs_are_counted_by_code_in_their_task(spark, monkeypatch):
     assert len(got) == len(want) and {(r.term_a, r.term_b): r.n_docs for r in got} == want and seeds == {0, 1}
 
 
+def test_vector_keyphrases_meet_vectors_where_documents_are(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [(i, " ".join(f"t{int(rng.paretovariate(0.8)) % 30}x" for _ in range(rng.randint(0, 12)))) for i in range(25)]
+    texts += [(30, "t1x t2x alone"), (30, "t1x mixed"), (31, None), (32, "the"), (33, "single")]
+    rows = [(i, t, [rng.choice([-1.0, 0.5, 2.0]) + rng.randint(1, 9) / 8 for _ in range(3)]) for i, t in texts]
+    d = spark.createDataFrame(rows, "doc_id long, text string, embedding array<float>")
+    met = [(i, w, y) for i, t, _ in rows for w in sorted(set((t or "").split()) - {"the"}) for j, _, y in rows if j == i]
+    held = collections.defaultdict(list)
+    for _, w, y in met:
+        held[w].append(y)
+    mean = {w: [sum(c) / len(v) for c in zip(*v)] for w, v in held.items()}
+    size = lambda v: math.sqrt(sum(c * c for c in v))
+    best = collections.defaultdict(list)
+    for i, w, y in met:
+        best[i].append((-math.floor(sum(a * b for a, b in zip(mean[w], y)) / (size(mean[w]) * size(y)) * 1e8 + 0.5), w))
+    want = {i: "; ".join(w for _, w in sorted(b)[:5]) for i, b in best.items()}
+    for common in (TM.COMMON_TERMS, 4):     # all vectors sent to the tasks, or only those of 4 words
+        monkeypatch.setattr(TM, "COMMON_TERMS", common)
+        assert {r.doc_id: r.keyphrases for r in TP.vector_keyphrases(d).collect()} == want
+    plan = TP.vector_keyphrases(d.where("doc_id < 30"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, \d+\)", plan)) == 1 and "ObjectHashAggregate" in plan
+    assert "WindowGroupLimit" in plan and "aggregate_metrics" not in plan
+
+
 def test_topics_over_time_smooth_in_one_shuffle(spark):
     rng = random.Random(4)
     rows = [(rng.randint(0, 2), " ".join(rng.choice("alpha beta gamma delta omega sigma".split()) for _ in range(rng.randint(1, 5))),
