@@ -44,6 +44,16 @@ def test_ranks_equal_the_linear_system(spark, hub):
     assert NW.ranks(edge_frame(spark, [("a", "a", 3), ("b", "c", 0), (None, "c", 2)])).collect() == []
 
 
+def test_rounds_of_ranks_read_numbers_not_terms(spark, monkeypatch):
+    kept = {}
+    keep = NW.store
+    monkeypatch.setattr(NW, "store", lambda df, name: kept.setdefault(name, df) and keep(df, name))
+    got = {r.term: r["rank"] for r in NW.ranks(edge_frame(spark, [("a", "b", 2), ("b", "c", 1)])).collect()}
+    assert set(got) == {"a", "b", "c"} and abs(sum(got.values()) - 1) < 1e-6
+    assert "string" not in dict(kept["network-walk"].dtypes).values()
+    assert "string" not in dict(kept["network-ranks"].dtypes).values()
+
+
 def test_communities_equal_brute_force(spark):
     edges = random_edges(2, n=60, m=160, hub=True)
     s = {}
